@@ -19,7 +19,7 @@ NOTATIONS = (
     (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d y"),
     (r"^[A-Z][a-z]{3,} \d{1,2} \d{4}$", "MMMM d y"),
 )
-SPACES = r"[\s   -     　﻿]+"
+SPACES = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 
 def fold(c: Column) -> Column:

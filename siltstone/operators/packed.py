@@ -39,9 +39,9 @@ LEGAL_FORMS = (
 )
 
 _SPACE = re.compile(r"\s+")
-_SEPARATOR = re.compile(r"[\n\r\t;|,  \x0b\x0c]|(?<=\s)/(?=\s)")
+_SEPARATOR = re.compile(r"[\n\r\t;|,\u2028\u2029\x0b\x0c]|(?<=\s)/(?=\s)")
 _COMMA = re.compile(r",")
-_BLANK = re.compile(r"[^\S\n\r\t\x0b\x0c  ]*")
+_BLANK = re.compile(r"[^\S\n\r\t\x0b\x0c\u2028\u2029]*")
 _MARK = re.compile(rf"[{re.escape(MARKS)}][^\S\n\r\t]+|\(?\d{{1,3}}[.)][^\S\n\r\t]+")
 _LEGAL = re.compile(r"(?:%s)\.?(?![^\W_])" % "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in sorted(LEGAL_FORMS, key=lambda x: (-len(x), x))), re.I)
 
