@@ -33,11 +33,12 @@ _OPEN, _CLOSE = "“„«「『‹", "”»」』›"
 
 _BLOCK_END = re.compile(rf"\s*\n[^\S\n]*\n\s*|\s*\n[^\S\n]*(?={MARK}[^\S\n]+\S)|\f")
 _MARKED = re.compile(rf"\s*{MARK}[^\S\n]+(?=\S)")
-_STOP = re.compile(r"(?P<dot>[.!?‼⁇-⁉]+|[。！？｡؟۔।॥။።]+)(?: ?»|[\"'”’»」』›）)\]]|“(?=[\s,;]|\Z))*")
+_STOP = re.compile(r"(?P<dot>[.!?‼⁇-⁉]+|[。！？｡؟۔।॥။።]+)(?:\s?»(?=[\s,;.:]|\Z)|[\"'”’»」』›）)\]]|“(?=[\s,;]|\Z))*")
 _THAI = re.compile(r"(?<=[฀-๿%”\"\d)])\s+(?=[฀-๿“\"(])")
 _HAS_THAI = re.compile(r"[฀-๿]{3}")
 _TOKEN = re.compile(r"[^\s(\[“„«「『\"]*\Z")
 _NEXT = re.compile(r"[\s\"'“„«「『‹(\[¿¡]*([^\W_][^\s,.;:!?]*)?")
+_UNCASED = re.compile(r"\s+[\u0590-\u0dff\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]")
 _QUOTE = re.compile(r"[\"“”„«»「」『』‹›]")
 
 #: Ends are sought at most so many candidates before; a unit of more is put together of parts.
@@ -71,7 +72,9 @@ def _end_score(text: str, a: int, stop: re.Match, b: int) -> float | None:
         return None if nxt in ",;:，；：、…" else 6.0
     before = text[stop.start() - 1] if stop.start() > a else " "
     word = (_NEXT.match(text, to, b)[1] or "") if to < b else ""
-    upper, lower = word[:1].isupper(), word[:1].islower()
+    # A first letter before a capital is a slip of the pen ("eThe"): the capital counts.
+    upper = word[:1].isupper() or word[1:2].isupper()
+    lower = word[:1].islower() and not upper
     if tight:
         # A blank was lost: "... report.The board ..."
         if nxt in "\"“„«" and dots != ".":
@@ -151,8 +154,9 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
             s = best[i] + score
             if marks:
                 s -= 6.0 * abs(at[j][0] - at[i][0]) + 6.0 * ((at[j][1] - at[i][1]) & 1)
-                # A unit that begins with a quotation and ends with it, though the text goes on without a blank: who said it follows.
-                if j < len(ends) and text[end - 1] in "”」』\"" and not text[end].isspace():
+                # A unit that is a quotation, though text goes on without a blank or in a script without capitals: who said it
+                # follows.
+                if j < len(ends) and text[end - 1] in "”」』»\"" and (not text[end].isspace() or _UNCASED.match(text, end, b)):
                     p = starts[i]
                     while p < end and text[p].isspace():
                         p += 1
