@@ -36,8 +36,9 @@ _NUMBER = re.compile(
     r"\d{1,3}|[ivxl1|]{1,7}|[-–—] ?\w{1,4} ?[-–—]|[\[(]\w{1,4}[\])]|\W{0,2}P\w{1,3}g\w ?\w{1,4}(?: \wf \w{1,4})?|\w{1,3} ?/ ?\w{1,3}|P\w{1,3}g\w \w{1,4} ?/ ?\w{1,4}",
     re.I,
 )
-_YEAR = re.compile(r"(?<![\d.])(?:19|20)\d\d(?!\d)")
+_YEAR_LAST = re.compile(r"(?<![\d.])(?:19|20)\d\d(?:\s+\d{1,3})?$")
 _PAGED = re.compile(r"^\d{1,3}(?:\s{2,}|\s*\|\s*)\S|\S(?:\s{2,}|\s*\|\s*)\d{1,3}$")
+_FOOTER = re.compile(r"\d{1,3} \| \S.*(?:19|20)\d\d$")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "9": "g", "c": "e", "†": "t", "ä": "a", "b": "h", "f": "t"})
 
 
@@ -89,7 +90,7 @@ def trained_editor(words: DataFrame) -> tuple[Editor, list[str]]:
 
 
 def _plain(line: str) -> str:
-    return re.sub(r"[\d\s]+", " ", line.strip().lower()).strip().translate(_FOLD)
+    return re.sub(r"(?<!\w)\d+(?!\w)|\s+", " ", line.strip().lower()).replace("  ", " ").strip().translate(_FOLD)
 
 
 def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
@@ -117,15 +118,16 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     def header(i: int, edge: bool) -> bool:
         """A score over the line's form, its repetition and its place."""
         x = lines[i].strip()
-        if not x or len(x) > 90:
+        words = x.split()
+        if not x or len(x) > 90 or len(words) > 10 or "/" in x:
             return False
         first = x.lstrip("0123456789 |[]-")[:1]
         p = _plain(x)
         s = 2.0 * edge
-        s += 2.0 * bool(_PAGED.search(x)) + 1.5 * bool(_YEAR.search(x))
-        s += 1.0 * ("|" in x) + 1.0 * first.isupper() - 3.0 * first.islower() - 3.0 * (x[-1] in ".!?,;:" and not x.endswith(("Ltd.", "Inc.", "Co.", "Corp.")))
+        s += 2.0 * bool(_PAGED.search(x)) + 1.5 * bool(_YEAR_LAST.search(x))
+        s += 1.0 * (" | " in x) + 1.0 * first.isupper() - 3.0 * first.islower() - 3.0 * (x[-1] in ".!?,;:" and not x.endswith(("Ltd.", "Inc.", "Co.", "Corp.")))
         # Repeated at the edges of pages, and hardly elsewhere.
-        s += 2.0 * (at_edge[p] >= 2 and at_edge[p] * 4 >= all_[p] * 3 and len(p) > 3)
+        s += 2.0 * (at_edge[p] - edge >= 1 and at_edge[p] * 2 >= all_[p] and len(p) > 3)
         return s >= 4.0
 
     out: set[int] = set()
@@ -135,15 +137,18 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     for i in top:
         if header(i, True) or (number(i) and len(filled) > 1 and not lines[i].strip().isalpha()):
             out.add(i)
-    # Breaks without a token: a page number between lines of the body, then perhaps a header.
+    # Breaks without a token: a page number, or a line that pages of this document begin or end with, between lines of the body.
     for i in filled:
-        if i in out or not number(i):
+        if i in out:
             continue
         x = lines[i].strip()
-        blank_after = i + 1 < len(lines) and not lines[i + 1].strip()
-        if x.isdigit() and len(x) > 3:
-            continue
-        if blank_after or i in top or i in bottom:
+        if number(i):
+            blank_after = i + 1 < len(lines) and not lines[i + 1].strip()
+            if not (x.isdigit() and len(x) > 3) and (blank_after or i in top or i in bottom):
+                out.add(i)
+        elif (_PAGED.search(x) or _YEAR_LAST.search(x)) and header(i, False):
+            out.add(i)
+        elif _FOOTER.match(x) and header(i, True):
             out.add(i)
     # Next to furniture: a second line of furniture.
     for i in sorted(out):
