@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -60,19 +61,24 @@ class Editor:
         f = [w for x in features(word, i) if (w := self.weights.get(x))]
         return {y: sum(w.get(y, 0.0) for w in f) for y in labels}
 
-    def train(self, pairs: list[tuple[str, str]], clean: list[str], rounds: int = 5, support: int = 3) -> Editor:
-        """pairs of (misread, plain) words; clean: words to keep. Edits seen in fewer than `support` pairs aren't learned."""
+    def train(self, pairs: list[tuple[str, str]], clean: list[str], times: dict[str, int] | None = None, rounds: int = 5, support: int = 3) -> Editor:
+        """pairs of (misread, plain) words; clean: words to keep; times: how often a misread word stands in the collection.
+
+        An edit is learned if `support` pairs have it, or two whose words stand there ten times.
+        """
         rows: list[tuple[str, list[str]]] = []
         edits: Counter = Counter()
+        seen_times: Counter = Counter()
         found = [(n, o) for n, c in pairs if (o := operations(n, c)) and any(x != KEEP for x in o)]
         site = lambda n, o: next((n[i : i + 1 + (o[i + 1 : i + 2] == [DELETE])], o[i]) for i in range(len(o)) if o[i] != KEEP)
         for n, o in found:
             edits[site(n, o)] += 1
-        rows = [(n, o) for n, o in found if edits[site(n, o)] >= support] + [(w, [KEEP] * len(w)) for w in clean]
+            seen_times[site(n, o)] += (times or {}).get(n, 1)
+        known = {e for e, k in edits.items() if k >= support or k >= 2 and seen_times[e] >= 10}
+        rows = [(n, o) for n, o in found if site(n, o) in known] + [(w, [KEEP] * len(w)) for w in clean]
         seen: dict[str, set[str]] = defaultdict(set)
-        for (chars, op), k in edits.items():
-            if k >= support:
-                seen[chars].add(op)
+        for chars, op in known:
+            seen[chars].add(op)
         self.seen = {c: sorted(v) for c, v in sorted(seen.items())}
         by_char: dict[str, set[str]] = defaultdict(lambda: {KEEP})
         for n, o in rows:
@@ -114,6 +120,8 @@ class Editor:
     def candidates(self, word: str, most: int = 24) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(spelling, score, edits): single edits and combinations of up to three, the likeliest first."""
         sites = self.sites(word)[:12]
+        if (x := unicodedata.normalize("NFKC", word)) != word and len(word) > 1:  # ligatures and full-width forms
+            sites = sorted([*sites, *[(8.0, i, i + 1, y) for i, c in enumerate(word) if (y := unicodedata.normalize("NFKC", c)) != c]], key=lambda s: (-s[0], s[1:]))[:12]
         level: list[tuple[float, list[tuple[int, int, str]]]] = [(s, [(a, b, t)]) for s, a, b, t in sites]
         all_, prev = list(level), level
         for _ in range(2):

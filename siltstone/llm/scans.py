@@ -27,6 +27,7 @@ from .tokens import small_batches
 
 # Bounds of the editor's training sample.
 FREQUENT, RARE = 20_000, 20_000
+USUAL = 1e-4
 TOKEN_LINES = ("----", "//")
 DIVIDERS = "-­¬‐‑"
 _ENDS = ".,;:!?()[]{}\"'“”„‟‘’‚«»‹›…·•"
@@ -39,6 +40,7 @@ _NUMBER = re.compile(
 _YEAR_LAST = re.compile(r"(?<![\d.])(?:19|20)\d\d(?:\s+\d{1,3})?$")
 _PAGED = re.compile(r"^\d{1,3}(?:\s{2,}|\s*\|\s*)\S|\S(?:\s{2,}|\s*\|\s*)\d{1,3}$")
 _FOOTER = re.compile(r"\d{1,3} \| \S.*(?:19|20)\d\d$")
+_ADDRESS = re.compile(r"[/@]|www\.")
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "9": "g", "c": "e", "†": "t", "ä": "a", "b": "h", "f": "t"})
 
 
@@ -79,11 +81,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def trained_editor(words: DataFrame) -> tuple[Editor, list[str]]:
-    """The editor and the frequent words of words (as from word_counts)."""
-    top = [r["word"] for r in words.where("n_clean >= 5").orderBy(F.desc("n_clean"), "word").limit(FREQUENT).collect()]
-    rare = [r["word"] for r in words.where("n_scan > 0 AND n_clean = 0 AND length(word) BETWEEN 4 AND 24 AND word NOT RLIKE '[-­¬‐]$'").orderBy(F.xxhash64("word")).limit(RARE).collect()]
-    usual = [w for w in top if len(w) >= 4]
-    return Editor().train(mined_pairs(rare, usual), usual), top
+    """The editor and the frequent words of words (as from word_counts). Words that make up at least USUAL of the clean text count
+    as plain spellings for its training: names are rarer."""
+    top = [(r["word"], r["n_clean"]) for r in words.where("n_clean >= 5").orderBy(F.desc("n_clean"), "word").limit(FREQUENT).collect()]
+    total = words.agg(F.sum("n_clean")).head()[0] or 0
+    odd = "[-\u00ad\u00ac\u2010]$|[./@:%]"
+    rare = {r["word"]: r["n_scan"] for r in words.where(f"n_scan > 0 AND n_clean = 0 AND length(word) BETWEEN 4 AND 24 AND NOT word RLIKE '{odd}'").orderBy(F.xxhash64("word")).limit(RARE).collect()}
+    usual = [w for w, n in top if len(w) >= 4 and n >= USUAL * total]
+    return Editor().train(mined_pairs(list(rare), usual), usual, rare), [w for w, n in top if n >= USUAL * total]
 
 
 # --- pages -------------------------------------------------------------------------------------------------------------
@@ -212,7 +217,7 @@ class ScanRepair:
                         tokens = lines[i].split()
                         for w in dict.fromkeys(tokens[first : len(tokens) - last]):
                             w = core(w)
-                            if w and w.lower() not in frequent and len(w) > 1 and _LETTER.search(w) and _LATIN.fullmatch(w):
+                            if w and w.lower() not in frequent and len(w) > 1 and not _ADDRESS.search(w) and _LETTER.search(w) and _LATIN.fullmatch(w):
                                 rows.append((k, i + 1, "misread", w, "", ""))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 take = pa.array(cols[0], pa.int64())
