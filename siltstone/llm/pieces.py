@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder, small_batches, vocabulary_path
+from .tokens import SAFE, PartCounter, encoder, small_batches, vocabulary_path
 
 # Levels of the tree, from the outside in: each pattern ends or begins a child.
 _PAGE = regex.compile(r"\f|\n----\n\n//\n\n----\n?")
@@ -48,15 +50,15 @@ def _letters(text: str, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]
         yield start, b
 
 
-def bodies(text: str, limit: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """Spans that cover text, each of at most limit tokens by count (a single larger character stands alone).
+def bodies(text: str, limit: int, count: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Spans that cover text, each of at most limit tokens by count(start, end) (a single larger character stands alone).
 
     The tree is entered only below nodes over the limit; sibling subtrees are merged from the left as long as they fit.
     """
 
     def units(a: int, b: int, level: int) -> Iterator[tuple[int, int, int]]:
         """(start, end, tokens) of the node text[a:b], as merged siblings."""
-        n = count(text[a:b])
+        n = count(a, b)
         if n <= limit:
             yield a, b, n
             return
@@ -70,12 +72,12 @@ def bodies(text: str, limit: int, count: Callable[[str], int]) -> list[tuple[int
             parts = []
         if len(parts) < 2:
             for p, q in _letters(text, a, b, limit):
-                yield p, q, count(text[p:q])
+                yield p, q, count(p, q)
             return
         held: tuple[int, int, int] | None = None
         for p, q in parts:
             for x in units(p, q, level):
-                if held and held[2] + x[2] <= limit and (n := count(text[held[0] : x[1]])) <= limit:
+                if held and held[2] + x[2] <= limit and (n := count(held[0], x[1])) <= limit:
                     held = held[0], x[1], n
                 else:
                     if held:
@@ -90,11 +92,32 @@ def bodies(text: str, limit: int, count: Callable[[str], int]) -> list[tuple[int
 _STARTS = regex.compile(r"(?<=\s)(?=\S)|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}。！？，、；：])(?=\S)")
 
 
-def overlapped(text: str, spans: list[tuple[int, int]], limit: int, overlap: int, count: Callable[[str], int]) -> list[tuple[int, int, int, int]]:
-    """(start, body start, end, tokens): each body with the end of the body before it, of at most overlap tokens."""
+class Tally:
+    """Token counts of the spans of one text, from counts of its parts between places where the tokenizer always parts words.
+
+    of() never is below the count of a span that begins and ends at such places, and exact there.
+    """
+
+    def __init__(self, text: str, counter: PartCounter) -> None:
+        parts = SAFE.split(text)
+        self.places = list(accumulate(map(len, parts), initial=0))
+        self.sums = list(accumulate(counter.counts(parts), initial=0))
+
+    def of(self, a: int, b: int) -> int:
+        i = bisect_right(self.places, a) - 1
+        j = bisect_left(self.places, b)
+        return self.sums[j] - self.sums[i] + (self.places[i] != a) + (self.places[j] != b)
+
+
+def overlapped(text: str, spans: list[tuple[int, int]], limit: int, overlap: int, count: Callable[[str], int], tally: Callable[[int, int], int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, body start, end, tokens): each body with the end of the body before it, of at most overlap tokens.
+
+    tally: quick counts of spans that the search goes by; what it finds is counted exactly.
+    """
+    tally = tally or (lambda a, b: count(text[a:b]))
     out = []
     for k, (a, b) in enumerate(spans):
-        start = a
+        start, n = a, None
         if k and overlap:
             low = max(spans[k - 1][0], a - 8 * overlap)
             places = [m.start() for m in _STARTS.finditer(text, low, a) if low <= m.start() < a] or [p for p in range(max(low, a - overlap), a) if p > low]
@@ -103,13 +126,29 @@ def overlapped(text: str, spans: list[tuple[int, int]], limit: int, overlap: int
             i, j = 0, len(places)
             while i < j:  # the earliest place from which the overlap and the whole piece fit
                 m = (i + j) // 2
-                if count(text[places[m] : a]) <= overlap and count(text[places[m] : b]) <= limit:
+                if tally(places[m], a) <= overlap and tally(places[m], b) <= limit:
                     j = m
                 else:
                     i = m + 1
-            if i < len(places):
-                start = places[i]
-        out.append((start, a, b, count(text[start:b])))
+            while i < len(places):
+                n = count(text[places[i] : b])
+                if n <= limit and count(text[places[i] : a]) <= overlap:
+                    start = places[i]
+                    break
+                i, n = i + 1, None
+        out.append((start, a, b, count(text[a:b]) if n is None else n))
+    return out
+
+
+def pieces(text: str, limit: int, overlap: int, count: Callable[[str], int], counter: PartCounter) -> list[tuple[int, int, int, int]]:
+    """(start, body start, end, tokens) of the pieces of a text."""
+    tally = Tally(text, counter)
+    if tally.sums[-1] <= limit:
+        return [(0, 0, len(text), tally.sums[-1])]
+    out = overlapped(text, bodies(text, limit - overlap, tally.of), limit, overlap, count, tally.of)
+    if max(p[3] for p in out) > limit:  # quick counts of spans between odd places can be too low: exact ones then
+        exact = lambda a, b: count(text[a:b])
+        out = overlapped(text, bodies(text, limit - overlap, exact), limit, overlap, count)
     return out
 
 
@@ -130,17 +169,14 @@ def cut_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
+        counter = PartCounter(e)
         count = lambda s: len(e.encode(s))
         for b in small_batches(batches, "text"):
             take, rows = [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                n = count(t)
-                if n <= limit:
-                    pieces = [(0, 0, len(t), n)]
-                else:
-                    pieces = overlapped(t, bodies(t, limit - overlap, count), limit, overlap, count)
-                take.extend([i] * len(pieces))
-                rows.extend((k, *p) for k, p in enumerate(pieces, 1))
+                cut = pieces(t, limit, overlap, count, counter)
+                take.extend([i] * len(cut))
+                rows.extend((k, *p) for k, p in enumerate(cut, 1))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(take, pa.int64())), *[pa.array(c, pa.int32()) for c in cols]], names=["key", "piece_no", "start_char", "body_char", "end_char", "n_tokens"])
 

@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # large scripts and common punctuation. Code points of which versions of Unicode disagree are left out.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſぁ-ゖァ-ヺ一-龥가-힣"
-_SAFE = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[{_LETTER}])(?=[.,;:!?()\"、。！，：；？])")
+SAFE = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[{_LETTER}])(?=[.,;:!?()\"、。！，：；？])")
 _GEAR = np.random.default_rng(16).integers(0, 1 << 63, 4096, dtype=np.uint64)
 
 
@@ -106,16 +106,16 @@ class ChunkEncoder:
         got = self.chunks.get(s)
         if got is None:
             self.misses += 1
-            m = _SAFE.search(s)
+            m = SAFE.search(s)
             if m is None:
                 got = (0, None, 0)
             else:
                 a = b = m.start()
                 k = max(a, len(s) - 48)  # the last safe place is near the end, as a rule
-                for m in _SAFE.finditer(s, k):
+                for m in SAFE.finditer(s, k):
                     b = m.start()
                 if b == a and k > a:
-                    for m in _SAFE.finditer(s, a):
+                    for m in SAFE.finditer(s, a):
                         b = m.start()
                 got = (a, self._ids(s[a:b]), b)
             if len(self.chunks) >= self.keep:
@@ -147,6 +147,30 @@ class ChunkEncoder:
         return out
 
 
+class PartCounter:
+    """Token counts of parts between safe places; mostly words, so most have been counted before. keep: how many at most."""
+
+    def __init__(self, encoder_: ChunkEncoder, keep: int = 300_000) -> None:
+        self.enc = encoder_._ids
+        self.keep = keep
+        self.known: dict[str, int] = {"": 0}
+
+    def counts(self, parts: list[str]) -> list[int]:
+        known = self.known
+        out = []
+        for p in parts:
+            n = known.get(p)
+            if n is None:
+                n = len(self.enc(p))
+                if len(p) <= 64:
+                    if len(known) >= self.keep:
+                        known.clear()
+                        known[""] = 0
+                    known[p] = n
+            out.append(n)
+        return out
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 

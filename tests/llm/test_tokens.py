@@ -5,7 +5,7 @@ import pytest
 
 from siltstone.llm import tokens as K
 from siltstone.llm.packing import fill, fill_containers, hilbert_key, packed_stream
-from siltstone.llm.pieces import bodies, cut_texts, overlapped
+from siltstone.llm.pieces import Tally, bodies, cut_texts, overlapped, pieces
 
 PATH = K.vocabulary_path()
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files here")
@@ -100,23 +100,46 @@ def count(s):
 @pytest.mark.parametrize("limit", [8, 40, 200])
 def test_bodies_cover_and_fit(limit):
     for t in texts(40):
-        spans = bodies(t, limit, count)
+        spans = bodies(t, limit, lambda a, b, t=t: count(t[a:b]))
         assert "".join(t[a:b] for a, b in spans) == t
         assert all(count(t[a:b]) <= limit or len(t[a:b]) <= 16 for a, b in spans)
 
 
+def test_tally_is_exact_at_safe_places():
+    e = K.encoder(PATH)
+    for t in texts(40):
+        tally = Tally(t, K.PartCounter(e, keep=50))
+        assert tally.of(0, len(t)) == count(t)
+        k = tally.places
+        for i, j in [(0, len(k) // 2), (len(k) // 3, len(k) - 1)]:
+            assert tally.of(k[i], k[j]) == count(t[k[i] : k[j]])
+
+
 def test_pieces_prefer_outer_boundaries():
     t = "Heading one\n\n" + "One sentence of text here. " * 6 + "\n\nHeading two\n\n" + "Another sentence of text. " * 6
-    spans = bodies(t, 60, count)
+    spans = bodies(t, 60, lambda a, b: count(t[a:b]))
     assert any(t[a:].startswith("Heading two") for a, _ in spans)
 
 
-def test_overlap(spark):
+@pytest.mark.parametrize(("limit", "overlap"), [(50, 10), (64, 0), (20, 8)])
+def test_pieces(limit, overlap):
+    e = K.encoder(PATH)
+    for t in [" ".join(f"Sentence number {i} is here." for i in range(200)), *texts(30)]:
+        if not t:
+            continue
+        got = pieces(t, limit, overlap, count, K.PartCounter(e))
+        assert got[0][1] == 0
+        assert got[-1][2] == len(t)
+        assert all(x[2] == y[1] for x, y in zip(got, got[1:], strict=False))
+        for start, a, b, n in got:
+            assert start <= a < b
+            assert n == count(t[start:b])
+            assert n <= limit or b - a <= 16
+            assert count(t[start:a]) <= overlap
     t = " ".join(f"Sentence number {i} is here." for i in range(200))
-    spans = bodies(t, 40, count)
-    for k, (start, a, b, n) in enumerate(overlapped(t, spans, 50, 10, count)):
-        assert n == count(t[start:b]) <= 50
-        assert (start < a and 5 <= count(t[start:a]) <= 10) if k else start == a
+    if overlap:
+        assert all(overlap // 2 <= count(t[s:a]) for s, a, *_ in pieces(t, limit, overlap, count, K.PartCounter(e))[1:])
+    assert overlapped(t, [(0, 9)], limit, overlap, count) == [(0, 0, 9, count(t[:9]))]
 
 
 def test_cut_texts_cases(spark):
