@@ -99,7 +99,7 @@ def _end_score(text: str, a: int, stop: re.Match, b: int) -> float | None:
     if t.isdigit() and len(t) < 3:
         w = word.lower()
         return -8.0 if w in ORDINAL_NOUNS else 3.0 if w in OPENERS else -1.0
-    if tight and (len(t) < 2 or "." in t or "/" in t):
+    if tight and (len(t) < 2 or len(t) < 3 and len(word) < 2 or "." in t or "/" in t):
         return None
     if "." in t and len(t) < 8 and not t.replace(".", "").isdigit():
         return 2.0 if upper and word.lower() in OPENERS else -4.0

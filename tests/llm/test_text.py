@@ -29,6 +29,7 @@ def cut(t):
         ("वह आया। डॉ. Rao गए।", ["वह आया।", "डॉ. Rao गए।"]),
         ("ประโยคแรกยาว ประโยคที่สองยาว", ["ประโยคแรกยาว", "ประโยคที่สองยาว"]),
         ("قال د. علي نعم. هل جاء؟ نعم", ["قال د. علي نعم.", "هل جاء؟", "نعم"]),
+        ("J. C. Doe, Ph.D., came at last.G. Roe left.", ["J. C. Doe, Ph.D., came at last.", "G. Roe left."]),
         ("The end of it.The next one", ["The end of it.", "The next one"]),
         ("a line\nthat goes on. Next", ["a line\nthat goes on.", "Next"]),
         ("Intro:\n• item one\n• item two\n\nAfter", ["Intro:", "item one", "item two", "After"]),
