@@ -38,3 +38,38 @@ def with_context(df: DataFrame, key: str, sentences: str, words: int) -> DataFra
     x = df.select(key, F.col(sentences).alias("s")).where("size(s) > 0")
     x = x.select(key, F.explode(F.arrays_zip(F.col("s").alias("sentence"), positional_context(F.col("s"), words).alias("c"))).alias("e"))
     return x.select(key, F.col("e.c.pos").alias("pos"), F.col("e.sentence").alias("sentence"), F.col("e.c.context").alias("context"))
+
+
+def plain_context(sentences: Column, words: int, left: str = "[L]", right: str = "[R]") -> Column:
+    """array<string>: each sentence between marks and dots, with words/2 - 1 words on either side; the sentence alone if that is none.
+
+    Words are pieces between white space. A sentence adds a word at least to its neighbours' text, so the words come from the
+    nearest words/2 sentences.
+    """
+    half = max(words // 2 - 1, 0)
+    pieces = lambda part: F.filter(F.split(F.array_join(part, ". "), r"\s+"), lambda w: w != "")
+    if not half:
+        return F.transform(sentences, F.trim)
+
+    def one(s: Column, i: Column) -> Column:
+        start = F.greatest(i - half, F.lit(0))
+        before, after = pieces(F.slice(sentences, start + 1, i - start)), pieces(F.slice(sentences, i + 2, F.lit(half + 1)))
+        head = F.slice(before, F.greatest(F.size(before) - half + 1, F.lit(1)), F.lit(half))
+        return F.trim(F.concat(F.array_join(head, " "), F.lit(f".  {left} "), s, F.lit(f" {right}. "), F.array_join(F.slice(after, 1, half), " ")))
+
+    return F.transform(sentences, one)
+
+
+def first_context(sentences: Column, words: int, left: str = "[L]", right: str = "[R]") -> Column:
+    """array<string>: as positional_context, but around the first place where the sentence's text stands in the joined text, even inside
+    another sentence."""
+    before, after = -(-words // 2), words // 2
+    full = F.array_join(sentences, ". ")
+
+    def one(s: Column) -> Column:
+        p = F.instr(full, s)
+        head, tail = F.split(F.substring(full, F.lit(1), p - 1), " "), F.split(F.substring(full, p + F.length(s), F.length(full)), " ")
+        head = F.slice(head, F.greatest(F.size(head) - before + 1, F.lit(1)), F.lit(before))
+        return F.trim(F.concat(F.array_join(head, " "), F.lit(f" {left} "), s, F.lit(f" {right}"), F.array_join(F.slice(tail, 1, after), " ")))
+
+    return F.transform(sentences, one)

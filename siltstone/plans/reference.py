@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from ..functions import criteria as C
 from ..functions import text as X
 from ..operators.clusters import clusters
-from ..operators.context import with_context
+from ..operators.context import first_context, plain_context, with_context
 from ..operators.match import matched
 from ..operators.metrics import averages, confusion, scores
 from ..operators.rank import ranked
@@ -108,6 +108,21 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_context(table(spark, sf_dir, "documents"), "doc_id", "sentences", 20).withColumn("pos", F.col("pos").cast("long"))
 
 
+_PIECES = lambda a, b: f"list_filter(string_split_regex(array_to_string(s[{a}:{b}], '. '), '\\s+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, i - 1 AS pos, trim(array_to_string(b[greatest(1, len(b) - 8):], ' ') || '.  [L] ' || s[i] || ' [R]. ' || array_to_string(a[1:9], ' '), ' ') AS context FROM (SELECT doc_id, s, i, {_PIECES('greatest(1, i - 9)', 'i - 1')} AS b, {_PIECES('i + 1', 'i + 10')} AS a FROM (SELECT doc_id, sentences AS s, unnest(range(1, len(sentences) + 1)) AS i FROM documents WHERE len(sentences) > 0))")
+def context_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("size(sentences) > 0")
+    return d.select("doc_id", F.posexplode(plain_context(F.col("sentences"), 20)).alias("pos", "context")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT doc_id, i - 1 AS pos, trim(array_to_string(b[greatest(1, len(b) - 9):], ' ') || ' [L] ' || s || ' [R]' || array_to_string(a[1:10], ' '), ' ') AS context FROM (SELECT doc_id, i, s, string_split(f[1:instr(f, s) - 1], ' ') AS b, string_split(f[instr(f, s) + length(s):], ' ') AS a FROM (SELECT doc_id, i, sentences[i] AS s, array_to_string(sentences, '. ') AS f FROM (SELECT doc_id, sentences, unnest(range(1, len(sentences) + 1)) AS i FROM documents WHERE len(sentences) > 0)))")
+def context_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("size(sentences) > 0")
+    return d.select("doc_id", F.posexplode(first_context(F.col("sentences"), 20)).alias("pos", "context")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("SELECT doc_id, list_transform(string_split_regex(text, '//'), lambda x: trim(x)) IS NOT NULL AS ok, CASE WHEN regexp_matches(text, '^\\s*fig\\.p\\d+\\.\\s*') THEN 'infographic' WHEN regexp_matches(text, '^\\s*tab\\.p\\d+\\.\\s*') THEN 'table' ELSE 'main_body' END AS origin, trim(regexp_replace(text, '^\\s*(fig|tab)\\.p\\d+\\.\\s*', ''), ' ') AS body FROM documents WHERE text IS NOT NULL")
 def excerpt_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.clusters import clusters
-from siltstone.operators.context import with_context
+from siltstone.operators.context import first_context, plain_context, with_context
 from siltstone.operators.match import matched
 from siltstone.operators.metrics import averages, confusion, scores
 from siltstone.operators.rank import ranked
@@ -22,7 +22,8 @@ def test_abbreviations_in_one_pass(spark):
 
 
 def test_cleaned_sentence(spark):
-    assert one(spark, "1.2 The  plan was “kept”.", X.cleaned_sentence) == "The plan was kept"
+    assert one(spark, "1.2 The  plan was “kept”.", X.cleaned_sentence) == "The plan was kept"
+    assert one(spark, "A\u00a0b was “kept”.", X.cleaned_sentence) == "Ab was kept"
     assert one(spark, "2023 report", X.cleaned_sentence) == "2023 report"
     assert one(spark, "20 suppliers", X.cleaned_sentence) == "suppliers"
 
@@ -61,6 +62,24 @@ def test_context_equals_the_definition(spark):
         assert got == {(i, p): reference_context(s, p, k) for i, s in docs if s for p in range(len(s))}
 
 
+def test_plain_and_first_context(spark):
+    s = ["a b c", "d", "e  f g h", "d", "b c"]
+    df = spark.createDataFrame([(s,)], "s array<string>")
+    for k in (1, 4, 6, 8, 20):
+        half = max(k // 2 - 1, 0)
+        want = []
+        for i, x in enumerate(s):
+            before, after = " ".join(". ".join(s[:i]).split()[-half:]), " ".join(". ".join(s[i + 1 :]).split()[:half])
+            want.append(f"{before}.  [L] {x} [R]. {after}".strip() if half else x.strip())
+        assert df.select(plain_context(F.col("s"), k).alias("c")).head()["c"] == want
+    full = ". ".join(s)
+    want = []
+    for x in s:
+        p = full.index(x)
+        want.append((" ".join(full[:p].split(" ")[-2:]) + " [L] " + x + " [R]" + " ".join(full[p + len(x) :].split(" ")[:2])).strip())
+    assert df.select(first_context(F.col("s"), 4).alias("c")).head()["c"] == want
+
+
 def test_match_stages_and_ties(spark):
     s = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma delta epsilon"), (1, 2, "alpha beta"), (2, 0, "other")], "id int, idx int, sentence string")
     e = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "delta"), (1, 2, "gamma delta epsilom"), (3, 0, "x"), (1, 3, None)], "id int, part int, excerpt string")
