@@ -26,6 +26,8 @@ EXCERPT_TOKEN = " // "
 EDGE = r"\.,;:!\?\x{201C}\x{201D}\""
 
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Guards: one look at the first character spares most places all alternatives.
+_NOT_WITHIN = r"(?![A-Za-z0-9,])"
 _COMMON = rf"\.{WS}+|\n{WS}*[{''.join(rf'\x{{{b}}}' for b in BULLETS)}]{WS}*|\n{WS}*-{WS}+|\n{WS}*[A-Za-z0-9][\.\)]{WS}+"
 SEPARATORS = {
     "fitz": rf"{WS}*----\n\n//\n\n----{WS}*|{_COMMON}|{WS}*\n{WS}*\n{WS}*",
@@ -42,8 +44,13 @@ def section_pattern(last_year: int = 2027) -> tuple[str, str]:
     return r"^[\.\-\(]?\d+(?:[\.\-]\d*)*\)?", rf"^[\.\-\(]?(?:{years})"
 
 
+def _initials(words: tuple[str, ...]) -> str:
+    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
+
+
 def without_dots(c: Column, pattern: str) -> Column:
     """c without the dots inside the matches of pattern, found in one pass."""
+    pattern = {NEVER_PATTERN: _initials(NEVER_END), MAY_PATTERN: _initials(MAY_END)}.get(pattern, "") + pattern
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     between = F.split(c, pattern)
     bare = F.concat(F.transform(found, lambda m: F.replace(m, F.lit("."), F.lit(""))), F.array(F.lit("")))
@@ -61,7 +68,8 @@ def cleaned_sentence(c: Column, last_year: int = 2027) -> Column:
     x = F.regexp_replace(x, r"[^\x{00}-\x{7F}]", "")
     x = F.regexp_replace(x, rf"^{WS}*[{EDGE}]+{WS}*", "")
     x = F.regexp_replace(x, rf"{WS}*[{EDGE}]+{WS}*$", "")
-    return F.trim(F.regexp_replace(x, rf"{WS}+", " "))
+    # Single plain blanks stay as they are.
+    return F.trim(F.regexp_replace(x, rf"{WS}{{2,}}|[\t\n\x{{0B}}\f\r\x{{1C}}-\x{{1F}}]", " "))
 
 
 def has_word(c: Column) -> Column:
@@ -71,7 +79,7 @@ def has_word(c: Column) -> Column:
 
 def sentences_of(c: Column, source: str = "fitz", last_year: int = 2027) -> Column:
     """The cleaned sentences of a raw text: separators of its source, then clean-up; those without a word are left out."""
-    return F.filter(F.transform(F.split(repaired_abbreviations(c), SEPARATORS[source]), lambda s: cleaned_sentence(s, last_year)), has_word)
+    return F.filter(F.transform(F.split(repaired_abbreviations(c), f"{_NOT_WITHIN}(?:{SEPARATORS[source]})"), lambda s: cleaned_sentence(s, last_year)), has_word)
 
 
 def excerpt_parts(c: Column) -> Column:

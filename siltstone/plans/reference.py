@@ -15,7 +15,7 @@ from ..operators.context import first_context, plain_context, with_context
 from ..operators.match import matched
 from ..operators.metrics import averages, confusion, scores
 from ..operators.rank import ranked
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,7 +64,7 @@ sent AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY i)
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text"))
     return d.select("doc_id", "lang", F.posexplode(X.sentences_of(F.col("text"))).alias("pos", "sentence"))
 
 
