@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .scans import ScanRepair
 from .sentences import sentence_units
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of the texts that were extracted from born-digital documents."""
-    return sentence_units(table(spark, sf_dir, "documents").where(F.col("extractor").isin("fitz", "abbyy")), "doc_id", "text")
+    return sentence_units(spread(table(spark, sf_dir, "documents").where(F.col("extractor").isin("fitz", "abbyy")).select("doc_id", "text")), "doc_id", "text")
 
 
 def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every text."""
-    return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentence_units(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _repair(spark: SparkSession, sf_dir: str) -> ScanRepair:
@@ -25,7 +25,7 @@ def _repair(spark: SparkSession, sf_dir: str) -> ScanRepair:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "extractor")
     scans = docs.where("extractor = 'scan'").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text").unionByName(raw)
     words = docs.where("coalesce(extractor, '') <> 'manual'").select("text", (F.col("extractor") == "scan").alias("scan")).unionByName(raw.select("text", F.lit(True).alias("scan")))
-    return ScanRepair(scans, words)
+    return ScanRepair(spread(scans), words)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
