@@ -36,8 +36,10 @@ def readable_date(c: Column) -> Column:
     t = F.regexp_replace(fold(c), r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?(Z|[+-]\d{2}:?\d{2}))?$", "")
     words = F.regexp_replace(F.regexp_replace(F.initcap(F.regexp_replace(t, r"[,.]", " ")), " +", " "), r"\bSept\b", "Sep")
     words = F.regexp_replace(F.trim(words), r"\b(\d{1,2})(St|Nd|Rd|Th)\b", "$1")
-    tries = []
-    for shape, pattern in NOTATIONS:
-        s = words if "M" * 3 in pattern else t
-        tries.append(F.when(s.rlike(shape), F.try_to_date(s, pattern)))
-    return F.coalesce(*tries)
+    # Bound as a lambda's variable, each form of the text is made once, not once per notation.
+    forms = F.array(F.struct(t.alias("t"), words.alias("w")))
+
+    def read(x: Column) -> Column:
+        return F.coalesce(*[F.when(x["w" if "MMM" in pattern else "t"].rlike(shape), F.try_to_date(x["w" if "MMM" in pattern else "t"], pattern)) for shape, pattern in NOTATIONS])
+
+    return F.get(F.transform(forms, read), 0)
