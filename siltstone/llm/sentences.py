@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +42,8 @@ _NEXT = re.compile(r"[\s\"'“„«「『‹(\[¿¡]*([^\W_][^\s,.;:!?]*)?")
 _UNCASED = re.compile(r"\s+[\u0590-\u0dff\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]")
 _QUOTE = re.compile(r"[\"“”„«»「」『』‹›]")
 
-#: Ends are sought at most so many candidates before; a unit of more is put together of parts.
-REACH = 24
+#: A unit has at most so many candidates of a positive score, and so many of any, before its end; those in closed quotations are none.
+REACH, FAR = 24, 400
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -120,6 +121,29 @@ def _quotes(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+def _quoted(text: str, a: int, b: int, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(place of the opening mark, of the closing one) of the outermost quotations that close within text[a:b]."""
+    opened, out, plain = [], [], None
+    for p, kind in marks:
+        if kind > 0:
+            opened.append(p)
+        elif kind < 0:
+            if opened:
+                out.append((opened.pop(), p))
+        elif plain is None:
+            # A plain mark opens only before a word, and closes only after something.
+            if (p == a or text[p - 1].isspace() or text[p - 1] in "([") and p + 1 < b and not text[p + 1].isspace():
+                plain = p
+        elif not text[p - 1].isspace():
+            out.append((plain, p))
+            plain = None
+    outer: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if not outer or s > outer[-1][1]:
+            outer.append((s, e))
+    return outer
+
+
 def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """The best division of the block text[a:b] into units: the sum over spans of the score of their end, opening, length and
     balance of quotation marks is largest."""
@@ -133,10 +157,14 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
         known = {e for e, _ in ends}
         ends.extend((m.start(), 4.0) for m in _THAI.finditer(text, a, b) if m.start() not in known)
         ends.sort()
+    marks = _quotes(text, a, b)
+    quoted = _quoted(text, a, b, marks)
+    if quoted:
+        opens = [s for s, _ in quoted]
+        ends = [(e, s) for e, s in ends if not (k := bisect_left(opens, e)) or e > quoted[k - 1][1]]
     if not ends:
         return [(a, b)]
     ends.append((b, 0.0))
-    marks = _quotes(text, a, b)
     starts = [a, *[e for e, _ in ends[:-1]]]
     # Signed and unsigned counts of quotation marks before each place.
     at, k, net, odd = [], 0, 0, 0
@@ -147,10 +175,23 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
             k += 1
         at.append((net, odd))
     first = {p for p, kind in marks if kind >= 0}
+    # Code points in closed quotations before each place: they do not make a unit too long.
+    inside, k, total = [], 0, 0
+    for p in [a, *[e for e, _ in ends]]:
+        while k < len(quoted) and quoted[k][1] < p:
+            total += quoted[k][1] - quoted[k][0]
+            k += 1
+        inside.append(total)
+    good = [0]
+    for _, score in ends:
+        good.append(good[-1] + (score > 0))
+    low = 0
     best, back = [0.0] + [-1e18] * len(ends), [0] * (len(ends) + 1)
     for j in range(1, len(ends) + 1):
         end, score = ends[j - 1]
-        for i in range(max(0, j - REACH), j):
+        while good[j - 1] - good[low] >= REACH or j - low > FAR:
+            low += 1
+        for i in range(low, j):
             s = best[i] + score
             if marks:
                 s -= 6.0 * abs(at[j][0] - at[i][0]) + 6.0 * ((at[j][1] - at[i][1]) & 1)
@@ -165,7 +206,7 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
             n = end - starts[i]
             if n < 4:
                 s -= 2.0
-            elif n > 700:
+            elif (n := n - inside[j] + inside[i]) > 700:
                 s -= (n - 700) / 300
             if s > best[j]:
                 best[j], back[j] = s, i

@@ -55,6 +55,17 @@ def test_spans_are_ordered_and_trimmed():
     assert len(cut("! " * 5_000)) >= 1
 
 
+@pytest.mark.parametrize("n", [3, 4, 30, 500])
+def test_long_quotations_are_one_unit(n):
+    for q, z in ("“”", "«»", '""', "„“"):
+        said = f"He said: {q}{'We came and saw it all. ' * n}We won.{z}"
+        assert cut(said + " More follows.") == [said, "More follows."]
+
+
+def test_stray_quotation_marks_end_nothing():
+    assert cut("“One is open. Two here. Three here.") == ["“One is open.", "Two here.", "Three here."]
+
+
 def test_units_table(spark):
     rows = [(1, "Go on. Come in.", "x"), (1, "Go on. Come in.", "x"), (2, None, "x"), (3, "", "x"), (None, "Halt.", "x")]
     got = sorted(map(str, sentence_units(spark.createDataFrame(rows, "id int, text string, sent_no string"), "id", "text").collect()))
