@@ -175,8 +175,8 @@ def passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def passage_match_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three stages; the nearest sentence counts from a score of 0.8."""
-    return matched(*_excerpts(spark, sf_dir), "doc_id", 0.8)
+    """All three stages; every excerpt of a text with sentences has its nearest one, whatever the score."""
+    return matched(*_excerpts(spark, sf_dir), "doc_id")
 
 
 # --- joins and sets ------------------------------------------------------------------------------------------------------
