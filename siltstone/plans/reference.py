@@ -286,6 +286,13 @@ def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("statement_id", "criterion", F.array_join(F.transform("x", lambda e: F.concat_ws("=", e["annotator_idx"], e["l"])), ",").alias("labels"))
 
 
+@query(_VOTES + " SELECT statement_id, criterion, sentence_idx, string_agg(annotator_idx || '=' || l, ',' ORDER BY annotator_idx) AS labels FROM lat GROUP BY ALL")
+def group_collect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of every sentence; group_collect has those of the first one only."""
+    x = _latest(spark, sf_dir).groupBy("statement_id", "criterion", "sentence_idx").agg(F.array_sort(F.collect_list(F.struct("annotator_idx", "l"))).alias("x"))
+    return x.select("statement_id", "criterion", "sentence_idx", F.array_join(F.transform("x", lambda e: F.concat_ws("=", e["annotator_idx"], e["l"])), ",").alias("labels"))
+
+
 both("uniform_multiplicity", "SELECT criterion, min(n) = max(n) AS uniform, min(n) AS least, max(n) AS most FROM (SELECT criterion, statement_id, count(DISTINCT annotator_idx) AS n FROM {annotations} GROUP BY criterion, statement_id) x GROUP BY criterion")
 both("annotation_counts", "SELECT statement_id, criterion, count(*) AS n, count(DISTINCT annotator_idx) AS n_annotators FROM {annotations} GROUP BY statement_id, criterion")
 both("fully_labelled", "SELECT statement_id FROM (SELECT statement_id, criterion, count(DISTINCT annotator_idx) AS n FROM {annotations} GROUP BY statement_id, criterion) x GROUP BY statement_id HAVING count(*) = 11 AND min(n) >= 2")
