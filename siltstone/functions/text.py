@@ -6,7 +6,10 @@ White space and word classes are spelled out, so the expressions mean the same i
 from __future__ import annotations
 
 import re
+import unicodedata
+from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +41,11 @@ NEVER_PATTERN = "(?:" + "|".join(re.escape(a).replace(r"\ ", " ") for a in NEVER
 MAY_PATTERN = "(?:" + "|".join(re.escape(a).replace(r"\ ", " ") for a in MAY_END) + rf")[,;:]?{WS}[^A-Z]"
 
 
-def section_pattern(last_year: int = 2027) -> tuple[str, str]:
-    """(pattern of a leading section number, pattern of lines that begin with a year from 2015 and keep it)."""
-    years = "|".join(str(y) for y in range(2015, last_year + 1))
-    return r"^[\.\-\(]?\d+(?:[\.\-]\d*)*\)?", rf"^[\.\-\(]?(?:{years})"
+def section_pattern(last_year: int | None = None) -> tuple[str, str]:
+    """(pattern of a leading section number, pattern of lines that begin with a year from 2015 to last_year, as a whole word, and
+    keep it); last_year is next year by default."""
+    years = "|".join(str(y) for y in range(2015, (last_year or date.today().year + 1) + 1))
+    return r"^[\.\-\(]?\d+(?:[\.\-]\d*)*\)?", rf"^[\.\-\(]?(?:{years})\b"
 
 
 def _initials(words: tuple[str, ...]) -> str:
@@ -61,7 +65,7 @@ def repaired_abbreviations(c: Column) -> Column:
     return without_dots(without_dots(c, NEVER_PATTERN), MAY_PATTERN)
 
 
-def cleaned_sentence(c: Column, last_year: int = 2027) -> Column:
+def cleaned_sentence(c: Column, last_year: int | None = None) -> Column:
     """Section number off, ASCII only, one pass of punctuation off each end, white space collapsed."""
     section, year = section_pattern(last_year)
     x = F.when(c.rlike(year), c).otherwise(F.regexp_replace(c, section, ""))
@@ -77,7 +81,7 @@ def has_word(c: Column) -> Column:
     return c.rlike(r"\b\w{2,}\b")
 
 
-def sentences_of(c: Column, source: str = "fitz", last_year: int = 2027) -> Column:
+def sentences_of(c: Column, source: str = "fitz", last_year: int | None = None) -> Column:
     """The cleaned sentences of a raw text: separators of its source, then clean-up; those without a word are left out."""
     return F.filter(F.transform(F.split(repaired_abbreviations(c), f"{_NOT_WITHIN}(?:{SEPARATORS[source]})"), lambda s: cleaned_sentence(s, last_year)), has_word)
 
@@ -134,10 +138,17 @@ def sample_id(statement: Column, sentence: Column) -> Column:
     return F.format_string("statement%05d:sentence%05d", statement, sentence)
 
 
+@F.pandas_udf("string")
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD), ASCII only."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
 def slug(c: Column) -> Column:
-    """Lower case, only letters, figures, _ and dashes; runs of blanks and dashes become one dash."""
-    ascii_ = F.regexp_replace(c, r"[^\x{00}-\x{7F}]", "")
-    return F.regexp_replace(F.regexp_replace(F.lower(ascii_), r"[^\w\s-]", ""), r"[-\s]+", "-")
+    """Lower case, accents and ligatures as plain letters; only letters, figures, _ and dashes; runs of blanks and dashes become
+    one dash, none at the ends."""
+    kept = F.regexp_replace(F.lower(_decomposed(c)), r"[^\w\s-]", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
 # Keywords of statements about the future.

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
-
 WITHIN = 0.999
 
 
+def best_match(sentences: Column, excerpt: Column, threshold: float = 0.0) -> Column:
+    """struct<idx, score, stage> of the excerpt among the array of sentences; NULL without sentences or below the threshold.
+
+    Stages: exact (score 1), inside a sentence (0.999), nearest (1 - distance / longer length). The first index wins ties. A stage is
+    only computed where those before it failed. The nearest keeps the best so far: a distance is computed only up to what
+    would still beat it, and not at all where the lengths alone rule that out.
+    """
+    made = lambda idx, score, stage: F.struct(idx.cast("int").alias("idx"), score.alias("score"), F.lit(stage).alias("stage"))
+    same = F.array_position(sentences, excerpt)
+    within = F.array_position(F.transform(sentences, lambda s: F.contains(s, excerpt)), F.lit(True))
+    start = F.struct(F.lit(-1).alias("idx"), F.lit(-1.0).alias("score"), F.lit(-1).alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        longest = F.greatest(F.length(s), F.length(excerpt), F.lit(1))
+        # The largest distance that beats the best so far; equal ones don't.
+        most = F.ceil(longest * (1 - acc["score"]) - 1e-9).cast("int") - 1
+        off = F.abs(F.length(s) - F.length(excerpt))
+        d = F.when(off <= most, F.call_function("levenshtein", s, excerpt, F.least(most, longest)))
+        at = acc["at"] + 1
+        return F.when(d.isNotNull() & (d >= 0), F.struct(at.alias("idx"), (1 - d / longest).alias("score"), at.alias("at"))).otherwise(F.struct(acc["idx"].alias("idx"), acc["score"].alias("score"), at.alias("at")))
+
+    near = F.aggregate(sentences, start, step, lambda acc: F.when((acc["idx"] >= 0) & (acc["score"] >= threshold), made(acc["idx"], F.round(acc["score"], 6), "near")))
+    found = F.when(same > 0, made(same - 1, F.lit(1.0), "exact")).otherwise(F.when(within > 0, made(within - 1, F.lit(WITHIN), "inside")).otherwise(near))
+    return F.when((F.size(sentences) > 0) & excerpt.isNotNull(), found)
+
+
 def matched(excerpts: DataFrame, sentences: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
-    """excerpts (key, part, excerpt) with (matched_idx, score, stage) from sentences (key, idx, sentence).
+    """excerpts (key, part, excerpt) with (matched_idx, score, stage) from sentences (key, idx, sentence), as best_match() says.
 
-    Stages: exact (score 1), inside a sentence (0.999), nearest (1 - distance / longer length, at least threshold). The first index wins
-    ties. Only excerpts left over by a stage enter the next, joined on the key; the last compares no pair whose lengths alone
-    keep it under the threshold. Excerpts of keys without sentences, and NULL excerpts, have no match and no row.
+    Sentences meet as one array per key, so one join on the key serves all stages and nothing is computed twice; excerpts stay
+    rows of their own, so a key with many of them is spread by the join. Excerpts of keys without sentences, and NULL ones,
+    have no row.
     """
-    e = excerpts.where("excerpt IS NOT NULL").select(key, "part", "excerpt")
-    first = sentences.groupBy(key, "sentence").agg(F.min("idx").alias("matched_idx"))
-    exact = e.join(first.withColumnRenamed("sentence", "excerpt"), [key, "excerpt"]).select(key, "part", "excerpt", "matched_idx", F.lit(1.0).alias("score"), F.lit("exact").alias("stage"))
-    rest = e.join(exact.select(key, "part"), [key, "part"], "left_anti")
-    inside = rest.join(sentences, key).where(F.contains("sentence", "excerpt")).groupBy(key, "part", "excerpt").agg(F.min("idx").alias("matched_idx"))
-    inside = inside.select(key, "part", "excerpt", "matched_idx", F.lit(WITHIN).alias("score"), F.lit("inside").alias("stage"))
-    rest = rest.join(inside.select(key, "part"), [key, "part"], "left_anti")
-    longest, shortest = F.greatest(F.length("sentence"), F.length("excerpt")), F.least(F.length("sentence"), F.length("excerpt"))
-    near = rest.join(sentences, key).where(shortest >= threshold * longest).select(key, "part", "excerpt", "idx", similarity(F.col("excerpt"), F.col("sentence")).alias("score"))
-    near = near.where(F.col("score") >= threshold).groupBy(key, "part", "excerpt").agg(F.max(F.struct("score", (-F.col("idx")).alias("m"))).alias("b"))
-    near = near.select(key, "part", "excerpt", (-F.col("b.m")).alias("matched_idx"), F.round("b.score", 6).alias("score"), F.lit("near").alias("stage"))
-    return exact.unionByName(inside).unionByName(near)
+    arrays = sentences.where("sentence IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("_s"))
+    arrays = arrays.select(key, F.transform("_s", lambda s: s["sentence"]).alias("_s"), F.transform("_s", lambda s: s["idx"]).alias("_i"))
+    x = excerpts.where("excerpt IS NOT NULL").select(key, "part", "excerpt").join(arrays, key)
+    x = x.select(key, "part", "excerpt", "_i", best_match(F.col("_s"), F.col("excerpt"), threshold).alias("_m")).where("_m IS NOT NULL")
+    return x.select(key, "part", "excerpt", F.get("_i", F.col("_m.idx")).alias("matched_idx"), F.col("_m.score").alias("score"), F.col("_m.stage").alias("stage"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import criteria as C
 from ..functions import text as X
 from ..operators.clusters import clusters
 from ..operators.context import first_context, plain_context, with_context
-from ..operators.match import matched
+from ..operators.match import best_match, matched
 from ..operators.metrics import averages, confusion, scores
 from ..operators.rank import ranked
 from ..sources.tables import spread, table
@@ -47,22 +48,32 @@ def both(name: str, sql: str, spark_sql: str | None = None) -> None:
 # --- text engine: abbreviations, separators, clean-up, sentences ---------------------------------------------------------
 
 _q = lambda s: s.replace("'", "''")
-_SECTION, _YEAR = X.section_pattern()
 _undot = lambda t, p: f"list_aggregate(list_transform(range(1, len(string_split_regex({t}, '{_q(p)}')) + 1), lambda i: string_split_regex({t}, '{_q(p)}')[i] || coalesce(replace(regexp_extract_all({t}, '{_q(p)}')[i], '.', ''), '')), 'string_agg', '')"
-_SENTENCES = f"""
-WITH a AS (SELECT doc_id, lang, text AS t FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, lang, {_undot("t", X.NEVER_PATTERN)} AS t FROM a),
-c AS (SELECT doc_id, lang, {_undot("t", X.MAY_PATTERN)} AS t FROM b),
-d AS (SELECT doc_id, lang, unnest(string_split_regex(t, '{_q(X.SEPARATORS["fitz"])}')) AS s, generate_subscripts(string_split_regex(t, '{_q(X.SEPARATORS["fitz"])}'), 1) AS i FROM c),
-e AS (SELECT doc_id, lang, i, CASE WHEN regexp_matches(s, '{_YEAR}') THEN s ELSE regexp_replace(s, '{_SECTION}', '') END AS s FROM d),
-f AS (SELECT doc_id, lang, i, regexp_replace(s, '[^\\x{{00}}-\\x{{7F}}]', '', 'g') AS s FROM e),
-g AS (SELECT doc_id, lang, i, regexp_replace(s, '^{X.WS}*[{X.EDGE}]+{X.WS}*', '') AS s FROM f),
-h AS (SELECT doc_id, lang, i, regexp_replace(s, '{X.WS}*[{X.EDGE}]+{X.WS}*$', '') AS s FROM g),
-k AS (SELECT doc_id, lang, i, trim(regexp_replace(s, '{X.WS}+', ' ', 'g')) AS sentence FROM h),
-sent AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, sentence FROM k WHERE regexp_matches(sentence, '\\b\\w{{2,}}\\b'))
+_WS = r"[ \t\n\f\r\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# A year from 2015 to the next one, as a whole word, keeps its place; other leading numbers go.
+_KEPT_YEAR = "^[.(-]?(" + "|".join(str(y) for y in range(2015, date.today().year + 2)) + ")([^0-9A-Za-z_]|$)"
+_NUMBERED = r"^[.(-]?[0-9]+([.-][0-9]*)*[)]?"
+
+
+def engine_sql(source: str, columns: str, separator: str, p: str = "", by: str = "doc_id") -> str:
+    """CTEs {p}a ... {p}sent (columns, pos, sentence) over the rows of source, whose text is t."""
+    split = f"string_split_regex(t, '{_q(separator)}')"
+    return f"""{p}a AS ({source}),
+{p}b AS (SELECT {columns}, {_undot("t", X.NEVER_PATTERN)} AS t FROM {p}a),
+{p}c AS (SELECT {columns}, {_undot("t", X.MAY_PATTERN)} AS t FROM {p}b),
+{p}d AS (SELECT {columns}, unnest({split}) AS s, generate_subscripts({split}, 1) AS i FROM {p}c),
+{p}e AS (SELECT {columns}, i, CASE WHEN regexp_matches(s, '{_KEPT_YEAR}') THEN s ELSE regexp_replace(s, '{_NUMBERED}', '') END AS s FROM {p}d),
+{p}f AS (SELECT {columns}, i, regexp_replace(s, '[^\\x{{00}}-\\x{{7F}}]', '', 'g') AS s FROM {p}e),
+{p}g AS (SELECT {columns}, i, regexp_replace(s, '^{_WS}*[.,;:!?"]+{_WS}*', '') AS s FROM {p}f),
+{p}h AS (SELECT {columns}, i, regexp_replace(s, '{_WS}*[.,;:!?"]+{_WS}*$', '') AS s FROM {p}g),
+{p}k AS (SELECT {columns}, i, trim(regexp_replace(s, '{_WS}+', ' ', 'g')) AS sentence FROM {p}h),
+{p}sent AS (SELECT {columns}, row_number() OVER (PARTITION BY {by} ORDER BY i) - 1 AS pos, sentence FROM {p}k WHERE regexp_matches(sentence, '\\b\\w{{2,}}\\b'))
 """
 
 
+_SENTENCES = "WITH " + engine_sql("SELECT doc_id, lang, text AS t FROM documents WHERE text IS NOT NULL", "doc_id, lang", X.SEPARATORS["fitz"])
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text"))
     return d.select("doc_id", "lang", F.posexplode(X.sentences_of(F.col("text"))).alias("pos", "sentence"))
@@ -123,13 +134,20 @@ def context_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(first_context(F.col("sentences"), 20)).alias("pos", "context")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT doc_id, list_transform(string_split_regex(text, '//'), lambda x: trim(x)) IS NOT NULL AS ok, CASE WHEN regexp_matches(text, '^\\s*fig\\.p\\d+\\.\\s*') THEN 'infographic' WHEN regexp_matches(text, '^\\s*tab\\.p\\d+\\.\\s*') THEN 'table' ELSE 'main_body' END AS origin, trim(regexp_replace(text, '^\\s*(fig|tab)\\.p\\d+\\.\\s*', ''), ' ') AS body FROM documents WHERE text IS NOT NULL")
+_CUT = rf"\.?{_WS}*//{_WS}*(?:[.\x{{2022}}-]{_WS}*)?"
+_PARTS = lambda t: f"list_transform(string_split_regex(regexp_replace({t}, '(http:|https:|ftp:)//', '\\1~SLASHES~', 'g'), '{_CUT}'), lambda x: replace(x, '~SLASHES~', '//'))"
+_ORIGIN = lambda t: f"CASE WHEN regexp_matches({t}, '^\\s*fig\\.p\\d+\\.\\s*') THEN 'infographic' WHEN regexp_matches({t}, '^\\s*tab\\.p\\d+\\.\\s*') THEN 'table' ELSE 'main_body' END"
+_BARE = lambda t: f"regexp_replace({t}, '^\\s*(fig|tab)\\.p\\d+\\.\\s*', '')"
+
+
+@query(f"SELECT doc_id, i - 1 AS part, {_ORIGIN('s')} AS origin, {_BARE('s')} AS body FROM (SELECT doc_id, unnest({_PARTS('text')}) AS s, generate_subscripts({_PARTS('text')}, 1) AS i FROM documents WHERE text IS NOT NULL)")
 def excerpt_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lit(True).alias("ok"), X.excerpt_origin(t).alias("origin"), F.trim(X.without_prefix(t)).alias("body"))
+    """Parts of every text at // (not that of an address), with where they come from and without their prefix."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(X.excerpt_parts(F.col("text"))).alias("part", "s"))
+    return d.select("doc_id", F.col("part").cast("long").alias("part"), X.excerpt_origin(F.col("s")).alias("origin"), X.without_prefix(F.col("s")).alias("body"))
 
 
-@query("SELECT statement_id, CASE WHEN regexp_matches(link, '/(\\d+)/?$') THEN regexp_extract(link, '/(\\d+)/?$', 1)::INT END AS link_id, lower(regexp_replace(regexp_replace(lower(regexp_replace(entities, '[^\\x{00}-\\x{7F}]', '', 'g')), '[^\\w\\s-]', '', 'g'), '[-\\s]+', '-', 'g')) AS slug, md5(coalesce(entities, '')) AS digest, string_split(statement_type, ' ')[1] AS main_type FROM statements")
+@query("SELECT statement_id, CASE WHEN regexp_matches(link, '/(\\d+)/?$') THEN regexp_extract(link, '/(\\d+)/?$', 1)::INT END AS link_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(regexp_replace(entities, '[\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]', ' ', 'g')), '[^\\x{00}-\\x{7F}]', '', 'g')), '[^\\w\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS slug, md5(coalesce(entities, '')) AS digest, string_split(statement_type, ' ')[1] AS main_type FROM statements")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "statements").select("statement_id", X.id_of_link(F.col("link")).alias("link_id"), X.slug(F.col("entities")).alias("slug"), F.md5(F.coalesce("entities", F.lit(""))).alias("digest"), F.split_part("statement_type", F.lit(" "), F.lit(1)).alias("main_type"))
 
@@ -168,9 +186,12 @@ def _excerpts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_MATCH + "SELECT doc_id, part, excerpt, matched_idx, 1.0::DOUBLE AS score, 'exact' AS stage FROM m1 UNION ALL SELECT doc_id, part, excerpt, matched_idx, 0.999::DOUBLE, 'inside' FROM m2")
 def passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the earlier splitter found, exactly or inside, among the sentences of their text."""
-    m = matched(*_excerpts(spark, sf_dir), "doc_id", 1.0)
-    return m.where("stage <> 'near'").select("doc_id", F.col("part").cast("long").alias("part"), "excerpt", F.col("matched_idx").cast("long").alias("matched_idx"), "score", "stage")
+    """Pieces of the earlier splitter found, exactly or inside, among the sentences of their text: within the text's own row."""
+    d = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL AND size(sentences) > 0").select("doc_id", "text", "sentences"))
+    one = lambda p: F.transform(p["e"], lambda e: F.struct(e.alias("excerpt"), F.when(e != "", best_match(p["s"], e, 2.0)).alias("m")))
+    pairs = F.transform(F.array(F.struct(X.sentences_of(F.col("text")).alias("s"), F.col("sentences").alias("e"))), one)
+    m = d.select("doc_id", F.posexplode(F.get(pairs, 0)).alias("part", "x")).where("x.m IS NOT NULL")
+    return m.select("doc_id", F.col("part").cast("long").alias("part"), F.col("x.excerpt").alias("excerpt"), F.col("x.m.idx").cast("long").alias("matched_idx"), F.col("x.m.score").alias("score"), F.col("x.m.stage").alias("stage"))
 
 
 @query()
@@ -229,12 +250,13 @@ def label_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ERROR = "CASE WHEN label IS NULL THEN 'no label' WHEN trim(label) = '' THEN 'blank label' WHEN l IS NULL THEN 'unknown label' WHEN sentence_idx < 0 THEN 'no sentence' WHEN annotator_id IS NULL THEN 'no annotator' END"
 
 
-@query(f"WITH an AS (SELECT *, {_L} AS l FROM annotations), e AS (SELECT *, {_ERROR} AS error FROM an) SELECT statement_id, criterion, count(*) AS n, count(error) AS n_bad, min(error) AS first_error FROM e GROUP BY ALL HAVING count(error) > 0")
+@query(f"WITH an AS (SELECT *, {_L} AS l FROM annotations), e AS (SELECT *, {_ERROR} AS error FROM an) SELECT statement_id, criterion, count(*) AS n, count(error) AS n_bad, arg_min(error, list_position(['no label', 'blank label', 'unknown label', 'no sentence', 'no annotator'], error)) AS first_error FROM e GROUP BY ALL HAVING count(error) > 0")
 def first_error_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups (statement, criterion) that one bad row rejects, with its error: the first rule that holds."""
+    """Groups (statement, criterion) that one bad row rejects, with the first rule, in their order, that one of its rows breaks."""
     a = table(spark, sf_dir, "annotations").withColumn("l", C.label(F.col("label")))
-    e = F.coalesce(F.when(F.col("label").isNull(), "no label"), F.when(F.trim("label") == "", "blank label"), F.when(F.col("l").isNull(), "unknown label"), F.when(F.col("sentence_idx") < 0, "no sentence"), F.when(F.col("annotator_id").isNull(), "no annotator"))
-    return a.withColumn("error", e).groupBy("statement_id", "criterion").agg(F.count("*").alias("n"), F.count("error").alias("n_bad"), F.min("error").alias("first_error")).where("n_bad > 0")
+    rules = {"no label": F.col("label").isNull(), "blank label": F.trim("label") == "", "unknown label": F.col("l").isNull(), "no sentence": F.col("sentence_idx") < 0, "no annotator": F.col("annotator_id").isNull()}
+    e = F.coalesce(*[F.when(c, F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"))) for k, (m, c) in enumerate(rules.items())])
+    return a.withColumn("error", e).groupBy("statement_id", "criterion").agg(F.count("*").alias("n"), F.count("error").alias("n_bad"), F.min("error")["m"].alias("first_error")).where("n_bad > 0")
 
 
 @query(_AN + ", bad AS (SELECT statement_id, criterion FROM an GROUP BY ALL HAVING bool_or(l IS NULL)) SELECT statement_id, criterion, count(*) AS n FROM an ANTI JOIN bad USING (statement_id, criterion) GROUP BY ALL")
