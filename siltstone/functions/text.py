@@ -12,6 +12,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations whose dots never end a sentence; those whose dots may, in this order; code points of bullets; the page
 # token; separators of annotators' excerpts; punctuation stripped from the ends of a sentence.
@@ -138,7 +139,7 @@ def sample_id(statement: Column, sentence: Column) -> Column:
     return F.format_string("statement%05d:sentence%05d", statement, sentence)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition (NFKD), ASCII only."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
@@ -158,3 +159,101 @@ FUTURE = ("will", "intend", "expect", "aim", "plan", "anticipate", "future", "go
 def about_future(c: Column) -> Column:
     """Whether a sentence has a keyword about the future anywhere."""
     return F.lower(c).rlike("|".join(FUTURE))
+
+
+def mentions(c: Column, word: str) -> Column:
+    """Whether a comment has a word as it is written; NULL comments have none."""
+    return F.coalesce(F.contains(c, F.lit(word)), F.lit(False))
+
+
+def is_sample_id(c: Column) -> Column:
+    return c.rlike(r"^statement[0-9]{5,}:sentence[0-9]{5,}$")
+
+
+def wrapped(c: Column, width: int, mark: str = "\n") -> Column:
+    """c with a mark after every `width` characters."""
+    return F.regexp_replace(c, "(?s)(.{%d})" % width, "$1" + mark)
+
+
+def templated(template: str, **fields: Column) -> Column:
+    """The template with {name} replaced by fields; NULL fields are empty. Other braces stay."""
+    parts = re.split(r"\{(" + "|".join(map(re.escape, fields)) + r")\}", template)
+    return F.concat(*[F.coalesce(fields[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
+def iso_text(c: Column) -> Column:
+    """A time as ISO text, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def time_of_iso(c: Column) -> Column:
+    """The time of an ISO text; NULL if it is none."""
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def time_of(c: Column) -> Column:
+    """The time of a text yyyy-MM-dd HH:mm:ss; NULL if it is none."""
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+# --- sentences with the places of their characters -----------------------------------------------------------------------
+
+
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of this module for Python: code points in its notation, white space spelled out as it is."""
+    return re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern))
+
+
+def _kept(s: str, at: list[int], spans: list[tuple[int, int]]) -> tuple[str, list[int]]:
+    """s and the places of its characters without the spans."""
+    out, places, end = [], [], 0
+    for a, b in spans:
+        out.append(s[end:a])
+        places.extend(at[end:a])
+        end = b
+    return "".join(out) + s[end:], places + at[end:]
+
+
+def sentences_with_offsets(column: str, source: str = "fitz", last_year: int | None = None) -> Column:
+    """array<struct<pos, sentence, offsets>>: what sentences_of() makes of the text, each character with its place in the raw text.
+
+    A run of white space that became one blank has the place of its first character. NULL stays NULL. Built-in expressions give no
+    places of matches, so this is a vectorised Python function; sentences_of() is the way where places aren't needed.
+    """
+    never, may, cut_at = (_python(p) for p in (NEVER_PATTERN, MAY_PATTERN, f"{_NOT_WITHIN}(?:{SEPARATORS[source]})"))
+    section, year = (_python(p) for p in section_pattern(last_year))
+    head, tail = _python(rf"^{WS}*[{EDGE}]+{WS}*"), _python(rf"{WS}*[{EDGE}]+{WS}*\Z")
+    blanks, word = _python(rf"{WS}{{2,}}|[\t\n\x{{0B}}\f\r\x{{1C}}-\x{{1F}}]"), re.compile(r"\b\w{2,}\b", re.ASCII)
+
+    def one(text: str) -> list[dict]:
+        s, at = text, list(range(len(text)))
+        for p in (never, may):
+            s, at = _kept(s, at, [(m.start() + i, m.start() + i + 1) for m in p.finditer(s) for i, ch in enumerate(m[0]) if ch == "."])
+        out, begin = [], 0
+        for m in (*cut_at.finditer(s), None):
+            x, o = s[begin : m.start() if m else len(s)], at[begin : m.start() if m else len(s)]
+            begin = m.end() if m else begin
+            if not year.match(x) and (n := section.match(x)):
+                x, o = x[n.end() :], o[n.end() :]
+            x, o = _kept(x, o, [(i, i + 1) for i, ch in enumerate(x) if ord(ch) > 127])
+            for p in (head, tail):
+                if n := p.search(x):
+                    x, o = _kept(x, o, [n.span()])
+            runs = [n.span() for n in blanks.finditer(x)]
+            chars = list(x)
+            for a, _ in runs:
+                chars[a] = " "
+            x, o = _kept("".join(chars), o, [(a + 1, b) for a, b in runs])
+            a, b = len(x) - len(x.lstrip(" ")), len(x.rstrip(" "))
+            x, o = x[a:b], o[a:b]
+            if word.search(x):
+                out.append({"pos": len(out), "sentence": x, "offsets": o})
+        return out
+
+    place = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(T.ArrayType(place))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else one(t))
+
+    return run(F.col(column))

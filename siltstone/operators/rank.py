@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def ranked(df: DataFrame, group: str, order: str, name: str = "rank", buckets: int = 256) -> DataFrame:
-    """df with the row's number within its group by the whole number `order` (unique within the group), from 1.
+def ranked(df: DataFrame, group: str, order: str, name: str = "rank", share: int = 64) -> DataFrame:
+    """df with the row's number within its group by `order` (unique within the group, of any type that has an order), from 1.
 
-    Only ranks within (group, bucket of order) are taken by windows; the buckets before are added as counts. So one group
-    never has to fit into one task. Buckets are ranges of equal width between the group's smallest and largest order.
+    Only ranks within (group, range of order) are taken by windows; the ranges before are added as counts, so one group never has to
+    fit into one task. The ranges are quantiles of each group, estimated in one aggregate of bounded size: an outlier does not
+    empty them, whatever the scale. NULL groups are a group of their own.
     """
-    span = df.groupBy(group).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).withColumnRenamed(group, "_s")
-    x = df.join(span, df[group].eqNullSafe(span["_s"])).drop("_s")
-    x = x.withColumn("_b", F.floor((F.col(order) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1))).drop("_lo", "_hi")
+    kind = dict(df.dtypes)[order]
+    # Numbers have quantiles of their own; texts and others are ordered by the number of their first seven bytes, which keeps the order.
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal")
+    place = F.col(order).cast("double") if number and kind not in ("date", "timestamp") else F.col(order).cast("timestamp").cast("double") if number else F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(order).cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    x = df.withColumn("_p", place)
+    bounds = x.groupBy(group).agg(F.approx_percentile("_p", [k / share for k in range(1, share)], 1000).alias("_q")).withColumnRenamed(group, "_s")
+    x = x.join(bounds, x[group].eqNullSafe(bounds["_s"])).drop("_s")
+    x = x.withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col("_p")))).drop("_q", "_p")
     counts = x.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_before")
     x = x.withColumn("_r", F.row_number().over(W.partitionBy(group, "_b").orderBy(order)))

@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable:
 _N = "(statement_id * 7 + sentence_idx * 13 + annotator_idx * 5 + length(criterion)) % 40"
 # The same expressions in both engines make the fields; what is compared is what the operators make of them.
 _FIELDS = {
-    "has_no_support_info": "(n = 1 AND l = 'YES') OR n = 2 OR (n = 5 AND l = 'NO')", "yes_text": "CASE WHEN (l = 'YES' AND n <> 3) OR n = 4 THEN 'yes text' ELSE '' END", "no_text": "CASE WHEN (l = 'NO' AND n <> 4) OR (l = 'YES' AND n = 3) THEN 'no text' END",
+    "has_no_support_info": "(n = 1 AND l = 'YES') OR n = 2 OR (n = 5 AND l = 'NO')", "yes_text": "CASE WHEN (l = 'YES' AND n <> 3) OR n = 4 THEN 'yes text' ELSE '' END", "no_text": "CASE WHEN (l = 'NO' AND n <> 4) OR (l = 'YES' AND n IN (3, 26)) THEN 'no text' END",
     "unclear_text": "CASE WHEN l = 'UNCLEAR' THEN 'unclear text' ELSE '' END", "has_date": "n IN (6, 20)", "date_text": "CASE WHEN n IN (7, 20) THEN '1 May' ELSE '' END", "date_text_is_scanned": "n = 21",
     "viz_elem_label": "n IN (8, 9, 10, 22)", "viz_elem_text": "CASE WHEN n IN (9, 10, 22) THEN 'a // b. // http://c' END", "viz_elem_page": "CASE WHEN n IN (8, 10, 11) THEN '3' WHEN n = 22 THEN 'p. 4' ELSE '' END", "viz_elem_type": "CASE WHEN n IN (8, 9, 22) THEN 'Data Table' END", "viz_elem_scanned": "FALSE",
     "add_viz_elem_label": "n IN (12, 13, 14, 23)", "add_viz_elem_text": "CASE WHEN n IN (13, 14, 22, 23) THEN 'x' END", "add_viz_elem_page": "CASE WHEN n IN (12, 14, 15, 23) THEN '7' END", "add_viz_elem_type": "CASE WHEN n IN (12, 13, 23) THEN 'figure' END", "add_viz_elem_scanned": "FALSE",

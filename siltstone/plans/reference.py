@@ -16,6 +16,9 @@ from ..operators.context import first_context, plain_context, with_context
 from ..operators.match import best_match, matched
 from ..operators.metrics import averages, confusion, scores
 from ..operators.rank import ranked
+from ..operators.splits import dealt
+from ..session import cut
+from ..sources.files import in_all
 from ..sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,7 +229,12 @@ both("anti_cache", "SELECT DISTINCT a.statement_id, a.sentence_idx FROM {annotat
 both("text_lookup", "SELECT DISTINCT a.doc_id, a.sentence_idx, {get} AS sentence FROM {annotations} a JOIN {documents} d ON a.doc_id = d.doc_id".replace("{get}", "d.sentences[a.sentence_idx + 1]"), "SELECT DISTINCT a.doc_id, a.sentence_idx, get(d.sentences, a.sentence_idx) AS sentence FROM {annotations} a JOIN {documents} d ON a.doc_id = d.doc_id")
 both("extractor_pairs", "SELECT a.statement_id, a.n AS fitz_chars, b.n AS abbyy_chars FROM (SELECT statement_id, sum(n_chars) AS n FROM {documents} WHERE extractor = 'fitz' GROUP BY statement_id) a JOIN (SELECT statement_id, sum(n_chars) AS n FROM {documents} WHERE extractor = 'abbyy' GROUP BY statement_id) b ON a.statement_id = b.statement_id")
 both("union_distinct_ids", "SELECT statement_id FROM {statements} UNION SELECT statement_id FROM {documents} UNION SELECT statement_id FROM {annotations}")
-both("nway_intersect", "SELECT statement_id FROM {annotations} GROUP BY statement_id HAVING count(DISTINCT criterion) = 11")
+@query("SELECT statement_id FROM annotations INTERSECT SELECT statement_id FROM documents INTERSECT SELECT statement_id FROM agreement_stats INTERSECT SELECT statement_id FROM raw_texts")
+def nway_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that four tables have."""
+    return in_all([table(spark, sf_dir, t).select("statement_id") for t in ("annotations", "documents", "agreement_stats", "raw_texts")])
+
+
 both("unused_ids", "SELECT statement_id FROM {statements} EXCEPT SELECT statement_id FROM {annotations}")
 both("symmetric_difference", "SELECT statement_id, 'statements' AS only_in FROM (SELECT statement_id FROM {statements} EXCEPT SELECT statement_id FROM {documents}) x UNION ALL SELECT statement_id, 'documents' FROM (SELECT statement_id FROM {documents} EXCEPT SELECT statement_id FROM {statements}) y")
 both("appended_sources", "SELECT source_table, count(*) AS n, count(DISTINCT statement_id) AS n_ids FROM (SELECT 'documents' AS source_table, statement_id FROM {documents} UNION ALL SELECT 'raw_texts', statement_id FROM {raw_texts}) u GROUP BY source_table")
@@ -302,22 +310,23 @@ def statement_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("statement_id", "class_idx").agg(F.greatest(F.lit(0), F.max((F.col("n_yes") > 0).cast("int"))).alias("target"), F.max(F.round(F.col("n_yes") / F.col("n_labels"), 6)).alias("prediction"))
 
 
-@query(_VOTES + " SELECT statement_id, criterion, string_agg(annotator_idx || '=' || l, ',' ORDER BY annotator_idx) AS labels FROM lat WHERE sentence_idx = 0 GROUP BY ALL")
+@query(_VOTES + " SELECT statement_id, criterion, annotator_idx, string_agg(sentence_idx || '=' || l, ',' ORDER BY sentence_idx) AS labels FROM lat GROUP BY ALL")
 def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _latest(spark, sf_dir).where("sentence_idx = 0").groupBy("statement_id", "criterion").agg(F.array_sort(F.collect_list(F.struct("annotator_idx", "l"))).alias("x"))
-    return x.select("statement_id", "criterion", F.array_join(F.transform("x", lambda e: F.concat_ws("=", e["annotator_idx"], e["l"])), ",").alias("labels"))
+    """Each annotator's labels of a statement and criterion, in the order of its sentences."""
+    x = _latest(spark, sf_dir).groupBy("statement_id", "criterion", "annotator_idx").agg(F.array_sort(F.collect_list(F.struct("sentence_idx", "l"))).alias("x"))
+    return x.select("statement_id", "criterion", "annotator_idx", F.array_join(F.transform("x", lambda e: F.concat_ws("=", e["sentence_idx"], e["l"])), ",").alias("labels"))
 
 
 @query(_VOTES + " SELECT statement_id, criterion, sentence_idx, string_agg(annotator_idx || '=' || l, ',' ORDER BY annotator_idx) AS labels FROM lat GROUP BY ALL")
 def group_collect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels of every sentence; group_collect has those of the first one only."""
+    """The labels of every sentence by its annotators, in their order."""
     x = _latest(spark, sf_dir).groupBy("statement_id", "criterion", "sentence_idx").agg(F.array_sort(F.collect_list(F.struct("annotator_idx", "l"))).alias("x"))
     return x.select("statement_id", "criterion", "sentence_idx", F.array_join(F.transform("x", lambda e: F.concat_ws("=", e["annotator_idx"], e["l"])), ",").alias("labels"))
 
 
 both("uniform_multiplicity", "SELECT criterion, min(n) = max(n) AS uniform, min(n) AS least, max(n) AS most FROM (SELECT criterion, statement_id, count(DISTINCT annotator_idx) AS n FROM {annotations} GROUP BY criterion, statement_id) x GROUP BY criterion")
 both("annotation_counts", "SELECT statement_id, criterion, count(*) AS n, count(DISTINCT annotator_idx) AS n_annotators FROM {annotations} GROUP BY statement_id, criterion")
-both("fully_labelled", "SELECT statement_id FROM (SELECT statement_id, criterion, count(DISTINCT annotator_idx) AS n FROM {annotations} GROUP BY statement_id, criterion) x GROUP BY statement_id HAVING count(*) = 11 AND min(n) >= 2")
+both("fully_labelled", "SELECT statement_id FROM (SELECT statement_id, criterion, count(DISTINCT annotator_idx) AS n FROM {annotations} GROUP BY statement_id, criterion) x GROUP BY statement_id HAVING min(n) >= 2")
 both("potential_counts", "SELECT s.statement_id, CASE WHEN a.statement_id IS NOT NULL THEN 2 ELSE 0 END AS potential FROM (SELECT DISTINCT statement_id FROM {statements}) s LEFT JOIN (SELECT DISTINCT statement_id FROM {annotations} WHERE criterion IN ('approval', 'signature', 'c1 (reporting entity)')) a ON s.statement_id = a.statement_id")
 both("unpivot_annotations", "SELECT statement_id, criterion, measure, n FROM {agreement_stats} UNPIVOT (n FOR measure IN (agreed_positive_counts, agreed_negative_counts, disagreed_counts))")
 both("upsert_edits", "SELECT b.statement_id, b.criterion, coalesce(e.n, b.n) AS n, e.n IS NOT NULL AS edited FROM (SELECT statement_id, criterion, max(annot1_pos_counts) AS n FROM {agreement_stats} GROUP BY statement_id, criterion) b LEFT JOIN (SELECT statement_id, criterion, max(annot2_pos_counts) AS n FROM {agreement_stats} WHERE disagreed_counts > 0 GROUP BY statement_id, criterion) e ON b.statement_id = e.statement_id AND b.criterion = e.criterion")
@@ -445,7 +454,9 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 5")
 def subsample_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").where("rank <= 5").drop("rank")
+    """The first five of each group: Spark keeps only five rows per group and task before the shuffle."""
+    r = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label").withColumn("r", r).where("r <= 5").drop("r")
 
 
 @query("WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, CASE WHEN r <= round_even(n * 0.8, 0) THEN 'train' WHEN r <= round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'valid' ELSE 'test' END AS split FROM r")
@@ -485,11 +496,9 @@ def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.agg(F.count("*").alias("clusters"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singles"), F.floor(F.median("n")).cast("int").alias("middle"))
 
 
-@query()
+@query(SQL["entity_clusters"].replace("SELECT id AS statement_id, min(c) AS cluster FROM r GROUP BY id", ", f AS (SELECT id, min(c) AS c FROM r GROUP BY id), o AS (SELECT c, row_number() OVER (ORDER BY md5('0:' || c)) - 1 AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM f)) SELECT id AS statement_id, c AS cluster, CASE WHEN nth < round_even(0.8 * n, 0) THEN 'train' WHEN nth < round_even(0.8 * n, 0) + round_even(0.1 * n, 0) THEN 'valid' ELSE 'test' END AS split FROM f JOIN o USING (c)"))
 def cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole clusters to train (0.8), valid (0.1), test (0.1) in the order of a hash of the cluster and a seed."""
-    c = entity_clusters(spark, sf_dir)
-    h = F.pmod(F.xxhash64("cluster", F.lit(0)), F.lit(1_000_000)) / 1_000_000
-    return c.select("statement_id", "cluster", F.when(h < 0.8, "train").when(h < 0.9, "valid").otherwise("test").alias("split"))
-
-
+    """Whole clusters to train (0.8), valid (0.1), test (the rest) in a shuffled order of a seed."""
+    c = cut(entity_clusters(spark, sf_dir), "clusters")
+    d = dealt(c, "cluster", {"train": 0.8, "valid": 0.1}, 0)
+    return c.join(d, "cluster", "left").select("statement_id", "cluster", F.coalesce("subset", F.lit("test")).alias("split"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut, drop_cut
+
 
 def all_strings(path: str, spark: SparkSession, columns: Iterable[str] | None = None, fill: str | None = "", encoding: str = "UTF-8", header: bool = True) -> DataFrame:
     """A CSV file of strings only; NULLs become fill (None: they stay); rows without any value are left out."""
@@ -32,7 +35,7 @@ def yearly(spark: SparkSession, paths: dict[str, str], column: str = "register_y
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
-    """df; fails when it is read if a key stands on several rows."""
+    """df; an error at once, by a count per key, if a key stands on several rows."""
     twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if not twice.isEmpty():
         raise ValueError(f"{key} is not unique")
@@ -83,6 +86,45 @@ def xml_as_json(xml: pd.Series) -> pd.Series:
     return xml.map(one)
 
 
+def row_links(html: Column) -> Column:
+    """The first link of each row of an HTML table that has one."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    return F.filter(F.transform(rows, lambda r: F.regexp_extract(r, r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"']", 1)), lambda a: a != "")
+
+
+def numbered_folder(path: Column) -> Column:
+    """The number that names the folder of a .pkl file; NULL for others."""
+    return F.nullif(F.regexp_extract(path, r"/(\d+)/[^/]+\.pkl$", 1), F.lit("")).try_cast("long")
+
+
+def wide_logs(logs: list[DataFrame], time: str) -> DataFrame:
+    """Logs with columns of their own as one frame, NULL where a log lacks a column, in the order of time."""
+    out = logs[0]
+    for x in logs[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out.orderBy(time)
+
+
+def column_sets(frames: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """column -> the frames that lack it, for columns that not all frames have; empty where all have the same."""
+    names = {c for f in frames.values() for c in f.columns}
+    return {c: missing for c in sorted(names) if (missing := [k for k, f in frames.items() if c not in f.columns])}
+
+
+def renamed(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """df with headers in lower case, blanks and signs as single underscores, then renamed by names."""
+    plain = {c: re.sub(r"\W+", "_", c.strip()).strip("_").lower() for c in df.columns}
+    return df.withColumnsRenamed({c: (names or {}).get(n, n) for c, n in plain.items()})
+
+
+def in_all(sets: list[DataFrame]) -> DataFrame:
+    """The rows that all of the sets have."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.intersect(s)
+    return out
+
+
 def links(html: Column, label: str = ".*?") -> Column:
     """Addresses of the links of an HTML text whose label matches."""
     return F.regexp_extract_all(html, F.lit(rf"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"'][^>]*>{label}</a>"), F.lit(1))
@@ -103,23 +145,62 @@ def last_columns(df: DataFrame, n: int) -> DataFrame:
     return df.select(*df.columns[:-n], F.array(*[F.col(f"`{c}`").cast("int") for c in df.columns[-n:]]).alias("labels"))
 
 
+def _states(spark: SparkSession, root: str, branch: str) -> tuple:
+    jvm, path = spark._jvm, f"{root.rstrip('/')}/{branch}"
+    now, new, old, older = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.before", f"{path}.older"))
+    return now.getFileSystem(spark._jsc.hadoopConfiguration()), now, new, old, older
+
+
 def read_branch(spark: SparkSession, root: str, branch: str = "main") -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{branch}")
+    """The branch's state; the one before where a writer was stopped between its renames."""
+    fs, now, _, old, _ = _states(spark, root, branch)
+    return spark.read.parquet(str(old if not fs.exists(now) and fs.exists(old) else now))
 
 
 def write_branch(df: DataFrame, root: str, branch: str) -> str:
-    """Write df as a new state of a branch; an earlier one stays beside it as <branch>.before."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = f"{root.rstrip('/')}/{branch}"
-    new, now, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.before"))
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs = now.getFileSystem(conf)
+    """Write df as a new state of a branch; the earlier one stays beside it as <branch>.before.
+
+    At every moment the branch or its earlier state is there whole: the state before that goes only once the new one is in place.
+    """
+    fs, now, new, old, older = _states(df.sparkSession, root, branch)
+    df.write.mode("overwrite").parquet(str(new))
     if fs.exists(now):
-        fs.delete(old, True)
+        fs.delete(older, True)
+        if fs.exists(old):
+            fs.rename(old, older)
         fs.rename(now, old)
     fs.rename(new, now)
-    return path
+    fs.delete(older, True)
+    return str(now)
+
+
+def restart_branch(spark: SparkSession, root: str, source: str, branch: str, defaults: dict[str, object]) -> DataFrame:
+    """A branch made anew from another's state, with columns of defaults added."""
+    write_branch(with_defaults(read_branch(spark, root, source), defaults), root, branch)
+    return read_branch(spark, root, branch)
+
+
+def replicated(value: Column, slots: Column) -> Column:
+    """A single value for every place of the array it replaces; NULL leaves the array as it is."""
+    return F.when(value.isNull(), slots).otherwise(F.array_repeat(value, F.size(slots)))
+
+
+def overridden(rows: DataFrame, validated: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with the values of validated rows where there are any; a key has at most one validated row."""
+    v = validated.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("validated"))
+    x = rows.join(v, keys, "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
+    return x.select(*[F.when(F.col("validated"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns], "validated")
+
+
+def append_checked(rows: DataFrame, error: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Append the rows without an error to the table at path, and the others with their error to <path>.failed; (table, failed).
+    Both parts come from one written table, so an expensive row is made once."""
+    spark = rows.sparkSession
+    checked = cut(rows.withColumn("error", error), "checked")
+    checked.where("error IS NULL").drop("error").write.mode("append").parquet(path)
+    checked.where("error IS NOT NULL").write.mode("append").parquet(f"{path}.failed")
+    drop_cut(checked)
+    return spark.read.schema(rows.schema).parquet(path), spark.read.schema(checked.schema).parquet(f"{path}.failed")
 
 
 def add_columns(base: DataFrame, extra: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
@@ -140,9 +221,19 @@ def upsert(base: DataFrame, edits: DataFrame, key: str, columns: Iterable[str])
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays, maps and structs as JSON."""
     nested = (T.ArrayType, T.MapType, T.StructType)
-    df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema]).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_texts(df: DataFrame, key: str, text: str, path: str) -> None:
+    """A file per key, in a folder <key>=..., with its text."""
+    df.select(key, F.col(text).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """df with missing columns as constants."""
     return df.withColumns({k: F.lit(v) for k, v in defaults.items() if k not in df.columns})
+
+
+def prefixed(df: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """Only the columns whose names begin with one of the prefixes."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.startswith(prefixes)])
