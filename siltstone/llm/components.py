@@ -1,108 +1,111 @@
-"""Splits that keep related records together: connected components, then closest split totals."""
+"""Splits that keep related records together: connected components (hooking and shortcutting over parent tables, in
+operators/clusters.py), then closest split totals."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut, drop_cut
+from ..operators.clusters import components, star_links
+from ..session import cut
 
 
-def star_edges(values: DataFrame, key: str, value: str) -> DataFrame:
-    """(u, v), u > v: each record linked with the smallest record that has the same value.
+star_edges = star_links
+__all__ = ["closest_counts", "components", "plan_split", "split_records", "star_edges"]
 
-    A value of a third of all rows gives one edge per record, never a pair of its records. NULL keys and values link nothing.
-    """
-    x = values.select(F.col(f"`{key}`").alias("u"), F.col(f"`{value}`").alias("value")).where("u IS NOT NULL AND value IS NOT NULL").distinct()
-    # The smallest is found by a group-by with partial aggregates, not by a window over all records of a value.
-    low = x.groupBy("value").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return x.join(low, "value").where("u <> v").select("u", "v").distinct()
+#: Totals that one pass of the bitsets looks at, and that a driver's arrays hold: 4 bytes and two bits each.
+WIDTH = 1 << 22
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that is linked to each id of edges (u, v), directly or over others.
+def _items(sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """(size, how many at once): the multiplicity of a size cut into powers of two, the smallest sizes first."""
+    out = []
+    for size, many in sorted(sizes.items()):
+        k = 1
+        while many > 0:
+            out.append((size, min(k, many)))
+            many -= k
+            k *= 2
+    return out
 
-    Parallel hooking and shortcutting over the parent table: every round joins the links with grandparents, hooks both a node
-    and its parent under the smallest grandparent among its neighbours, and shortcuts nodes to their grandparents, until no
-    parent changes (rounds grow with the logarithm of the longest chain). Each round's parents are written to the shared
-    folder. Self links count for nothing; ids without links aren't in the result; no edges: no rows.
-    """
-    both = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
-    both = cut(both, "links")
-    # A node's first parent is its smallest neighbour or itself.
-    parents = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p")).withColumnRenamed("u", "id"), "parents")
-    for _ in range(rounds):
-        grand = parents.join(parents.select(F.col("id").alias("p"), F.col("p").alias("g")), "p").select("id", "p", "g")
-        grand = cut(grand, "grand")
-        low = both.join(grand.select(F.col("id").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
-        hooks = grand.join(low.withColumnRenamed("u", "id"), "id").select("id", "p", "g", "m")
-        offers = hooks.select(F.explode(F.array(F.struct(F.col("id"), F.least("p", "g", "m").alias("q")), F.struct(F.col("p").alias("id"), F.col("m").alias("q")))).alias("o")).select("o.id", "o.q")
-        after = cut(offers.groupBy("id").agg(F.min("q").alias("p")), "parents")
-        changed = not after.join(parents, ["id", "p"], "left_anti").isEmpty()
-        drop_cut(grand)
-        drop_cut(parents)
-        parents = after
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return parents.select("id", F.col("p").alias("component"))
 
+def _places(bits: int) -> np.ndarray:
+    """The places of the ones of a long number."""
+    words = np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 64) * 8, "little"), np.uint64)
+    some = np.flatnonzero(words)
+    rows, cols = np.nonzero(np.unpackbits(words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return some[rows] * 64 + cols
 
-def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
-    """size -> how many groups of that size to take so that their total is as close to target as can be (the lower at a tie).
 
-    Subset sums as bitsets: the multiplicity of a size is cut into powers of two, each a shift of the set of reachable totals.
+def _subset(items: list[tuple[int, int]], target: int) -> tuple[dict[int, int], int]:
+    """(size -> how many, their total): the subset of items whose total is closest to target, the lower at a tie.
+
+    Subset sums as a bitset, each item a shift. What a total was first reached with is kept in one array of numbers, not a
+    bitset per item: the items before it always reached the rest. Done as soon as target itself is reached.
     """
-    items: list[tuple[int, int]] = []
-    for size, many in sorted(sizes.items(), reverse=True):
-        k = 1
-        while many > 0:
-            items.append((size, min(k, many)))
-            many -= k
-            k *= 2
-    width = 2 * target + 1
-    mask = (1 << (width + 1)) - 1
-    reach = [1]
-    for size, k in items:
-        reach.append(reach[-1] | ((reach[-1] << (size * k)) & mask))
-    last = reach[-1]
-    below = (last & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = last >> target
+    top = 2 * target + 1
+    first = np.zeros(top + 1, np.int32)
+    mask = (1 << (top + 1)) - 1
+    reach = 1
+    for i, (size, k) in enumerate(items):
+        if reach >> target & 1:
+            break
+        if size * k <= top and (new := (reach << (size * k)) & mask & ~reach):
+            first[_places(new)] = i
+            reach |= new
+    below = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> target
     up = target + ((above & -above).bit_length() - 1) if above else None
     total = below if up is None or target - below <= up - target else up
     take: dict[int, int] = {}
-    for i in range(len(items) - 1, -1, -1):
-        if not reach[i] >> total & 1:
-            size, k = items[i]
-            take[size] = take.get(size, 0) + k
-            total -= size * k
-    return take
+    left = total
+    while left:
+        size, k = items[first[left]]
+        take[size] = take.get(size, 0) + k
+        left -= size * k
+    return take, total
+
 
+def closest_counts(sizes: dict[int, int], target: int, width: int = WIDTH) -> dict[int, int]:
+    """size -> how many groups of that size to take so that their total is as close to target as can be (the lower at a tie).
 
-def plan_split(sizes: dict[int, int], shares: dict[str, float], exact_total: int = 1 << 24) -> dict[int, list[tuple[str, int]]]:
+    The bitsets look at the last `width` records of the target; what lies before is filled with the largest groups that leave that
+    many. A total that meets the target can't be bettered. One that doesn't is tried again with twice the width, until the
+    bitsets look at the whole target: so the answer is the closest one at any total, and a target within the width
+    is settled at once.
+    """
+    while True:
+        left, take, need = dict(sizes), {}, target
+        for size in sorted(sizes, reverse=True):
+            if need <= width:
+                break
+            n = min(left[size], (need - width) // size)
+            if n > 0:
+                take[size] = n
+                left[size] -= n
+                need -= n * size
+        more, total = _subset(_items({s: n for s, n in left.items() if n}), need) if need <= width else ({}, None)
+        if total == need or total is not None and width >= target:
+            for s, n in more.items():
+                take[s] = take.get(s, 0) + n
+            return take
+        width = min(2 * width, max(target, 1)) if width < target else width * 2
+
+
+def plan_split(sizes: dict[int, int], shares: dict[str, float], width: int = WIDTH) -> dict[int, list[tuple[str, int]]]:
     """size -> [(split, how many groups of that size)], in the order of shares.
 
     The smallest share is filled first, each as close to its total as the remaining groups allow; the largest takes the rest.
-    Above exact_total records (the driver's bitsets would be long) all but 4,096 groups of a size are dealt in proportion
-    first and the bitsets settle the remainder; no group is left out either way.
     """
     total = sum(s * n for s, n in sizes.items())
     norm = sum(shares.values())
     order = sorted(shares, key=lambda k: (shares[k], k))
     left, given = dict(sizes), {k: {} for k in shares}
-    if total > exact_total:
-        for s, n in sizes.items():
-            for k in order[:-1]:
-                bulk = int(max(0, n - 4096) * shares[k] / norm)
-                given[k][s] = bulk
-                left[s] -= bulk
     for k in order[:-1]:
-        need = max(0, round(total * shares[k] / norm) - sum(s * n for s, n in given[k].items()))
-        pool = left if total <= exact_total else {s: min(n, 4096) for s, n in left.items()}
-        for s, n in closest_counts(pool, need).items():
-            given[k][s] = given[k].get(s, 0) + n
+        for s, n in closest_counts(left, round(total * shares[k] / norm), width).items():
+            given[k][s] = n
             left[s] -= n
     given[order[-1]] = left
     return {s: [(k, given[k].get(s, 0)) for k in shares] for s in sizes}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, drop_cut
 
 # Spellings of the labels.
 YES = ("yes", "y", "true", "1")
@@ -22,16 +23,25 @@ def label_of(c: Column) -> Column:
     return F.when(s.isin(*YES), "YES").when(s.isin(*NO), "NO").when(s.isin(*UNCLEAR), "UNCLEAR")
 
 
+def label_code(c: Column) -> Column:
+    """0, 1, 2 for NO, UNCLEAR, YES; NULL for what is no label."""
+    s = F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
+    return F.when(s.isin(*YES), 2).when(s.isin(*NO), 0).when(s.isin(*UNCLEAR), 1)
+
+
 def latest_labels(df: DataFrame, item: list[str], annotator: str, label: str, when: str) -> DataFrame:
     """(item..., annotator, label): of an annotator's labels of an item the latest that is a label.
 
     NULL times count as the earliest; ties go to the larger of NO < UNCLEAR < YES. Rows without an annotator, or with a NULL
     in the item, speak for nobody and don't count. Repeated rows count once.
     """
-    x = df.select(*[F.col(f"`{c}`").alias(f"i{k}") for k, c in enumerate(item)], F.col(f"`{annotator}`").alias("annotator"), label_of(F.col(f"`{label}`")).alias("label"), F.col(f"`{when}`").alias("at"))
-    x = x.where("annotator IS NOT NULL AND label IS NOT NULL").na.drop(subset=[f"i{k}" for k in range(len(item))])
     keys = [f"i{k}" for k in range(len(item))]
-    return x.groupBy(*keys, "annotator").agg(F.max(F.struct("at", "label")).alias("r")).select(*keys, "annotator", "r.label")
+    code = label_code(F.col(f"`{label}`"))
+    # Time and label in one number: its maximum needs no sort, unlike that of a struct.
+    at = F.coalesce(F.unix_micros(F.col(f"`{when}`").cast("timestamp")), F.lit(-(1 << 60)))
+    x = df.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(keys, item, strict=True)], F.col(f"`{annotator}`").alias("annotator"), (at * 4 + code).alias("r")).where("r IS NOT NULL").na.drop(subset=[*keys, "annotator"])
+    last = F.pmod(F.col("r"), F.lit(4))
+    return x.groupBy(*keys, "annotator").agg(F.max("r").alias("r")).select(*keys, "annotator", F.when(last == 2, "YES").when(last == 1, "UNCLEAR").otherwise("NO").alias("label"))
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -55,12 +65,12 @@ def beta_interval(a: float, b: float, mass: float = 0.95, grid: int = 4001) -> t
     return float(p[np.searchsorted(c, (1 - mass) / 2)]), float(p[np.searchsorted(c, (1 + mass) / 2)])
 
 
-@F.pandas_udf(T.StructType([T.StructField("yes", T.DoubleType()), T.StructField("no", T.DoubleType())]))
-def _expected_logs(right_yes: pd.Series, wrong_yes: pd.Series, wrong_no: pd.Series, right_no: pd.Series, said_yes: pd.Series) -> pd.DataFrame:
-    """E[log P(label | YES)], E[log P(label | NO)] of Dirichlet rows."""
-    ty, tn = digamma(right_yes + wrong_yes), digamma(wrong_no + right_no)
-    s = said_yes.to_numpy(bool)
-    return pd.DataFrame({"yes": digamma(np.where(s, right_yes, wrong_yes)) - ty, "no": digamma(np.where(s, wrong_no, right_no)) - tn})
+def digamma_column(x: Column) -> Column:
+    """Digamma of positive x as an expression: recurrence by 6, then the asymptotic series. No Python in the rounds."""
+    z = x + 6.0
+    y = 1.0 / (z * z)
+    series = y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return F.log(z) - 0.5 / z - series - sum(1.0 / (x + float(k)) for k in range(6))
 
 
 class Consensus:
@@ -68,7 +78,8 @@ class Consensus:
 
     Priors: Dirichlet(prior_class) on the classes, Dirichlet(prior_right, prior_wrong) on each annotator's rows. UNCLEAR
     speaks for neither class. Items with equal sets of (annotator, label) have equal posteriors, so they are counted first and
-    the rounds run over the distinct sets. Each round is two group-bys: by set (posterior), by annotator (digamma updates).
+    the rounds run over the distinct sets. Each round is two group-bys: by set (posterior), by annotator (digamma updates). Rounds that
+    end without settling give a warning, and `converged` is False.
     """
 
     def __init__(self, labels: DataFrame, prior_class: float = 1.0, prior_right: float = 2.0, prior_wrong: float = 1.0, rounds: int = 60, tolerance: float = 1e-3) -> None:
@@ -77,16 +88,19 @@ class Consensus:
         self.prior = (prior_class, prior_right, prior_wrong)
         self.spark = labels.sparkSession
         voted = F.when(F.col("label") != "UNCLEAR", F.struct("annotator", (F.col("label") == "YES").alias("yes")))
-        self.items = cut(labels.groupBy(*self.keys).agg(F.array_sort(F.collect_set(voted)).alias("votes")).withColumn("pattern", F.xxhash64("votes")), "items")
-        sets = self.items.groupBy("votes").agg(F.count("*").alias("n")).withColumn("pattern", F.xxhash64("votes"))
-        self.sets = cut(sets.select("pattern", "n", F.explode_outer("votes").alias("v")).select("pattern", "n", "v.annotator", "v.yes"), "sets")
+        # Vote sets are told apart by 128 bits of hash.
+        pattern = [F.xxhash64("votes").alias("p1"), F.xxhash64("votes", F.lit(1)).alias("p2")]
+        items = labels.groupBy(*self.keys).agg(F.collect_set(voted).alias("votes")).select(*self.keys, F.array_sort("votes").alias("votes"))
+        self.items = cut(items.select("*", *pattern), "items")
+        sets = self.items.groupBy("p1", "p2").agg(F.count("*").alias("n"), F.first("votes").alias("votes"))
+        self.sets = cut(sets, "sets")
         self._run(rounds, tolerance)
 
     def _posterior(self, logs: DataFrame, prior_yes: float, prior_no: float) -> DataFrame:
-        """(pattern, n, votes, q): q is the posterior of YES."""
-        x = self.sets.join(logs, ["annotator", "yes"], "left")
-        x = x.groupBy("pattern").agg(F.first("n").alias("n"), F.sum(F.coalesce("ly", F.lit(0.0))).alias("ly"), F.sum(F.coalesce("ln", F.lit(0.0))).alias("ln"), F.collect_list(F.when(F.col("annotator").isNotNull(), F.struct("annotator", "yes"))).alias("votes"))
-        return x.select("pattern", "n", "votes", (1 / (1 + F.exp(F.col("ln") + prior_no - F.col("ly") - prior_yes))).alias("q"))
+        """(p1, p2, n, votes, q): q is the posterior of YES."""
+        x = self.sets.select("p1", "p2", "n", "votes", F.explode_outer("votes").alias("v")).select("p1", "p2", "n", "votes", "v.annotator", "v.yes")
+        x = x.join(logs, ["annotator", "yes"], "left").groupBy("p1", "p2").agg(F.sum(F.coalesce("ly", F.lit(0.0))).alias("ly"), F.sum(F.coalesce("ln", F.lit(0.0))).alias("ln"))
+        return self.sets.join(x, ["p1", "p2"]).select("p1", "p2", "n", "votes", (1 / (1 + F.exp(F.col("ln") + prior_no - F.col("ly") - prior_yes))).alias("q"))
 
     def _update(self, post: DataFrame) -> DataFrame:
         """Posterior counts by annotator, and the classes' under the NULL annotator."""
@@ -98,35 +112,44 @@ class Consensus:
 
     def _logs(self, counts: DataFrame) -> DataFrame:
         _, right, wrong = self.prior
-        said = counts.where("annotator IS NOT NULL").select("annotator", "yy", "yn", "ny", "nn", F.explode(F.array(F.lit(True), F.lit(False))).alias("yes"))
-        e = _expected_logs(F.col("yy") + right, F.col("yn") + wrong, F.col("ny") + wrong, F.col("nn") + right, F.col("yes"))
-        return said.select("annotator", "yes", e.alias("e")).select("annotator", "yes", F.col("e.yes").alias("ly"), F.col("e.no").alias("ln"))
+        # E[log P(label | YES)], E[log P(label | NO)] of the Dirichlet rows.
+        yy, yn, ny, nn = F.col("yy") + right, F.col("yn") + wrong, F.col("ny") + wrong, F.col("nn") + right
+        row = lambda said, p, q: F.struct(F.lit(said).alias("yes"), (digamma_column(p) - digamma_column(yy + yn)).alias("ly"), (digamma_column(q) - digamma_column(ny + nn)).alias("ln"))
+        return counts.where("annotator IS NOT NULL").select("annotator", F.explode(F.array(row(True, yy, ny), row(False, yn, nn))).alias("e")).select("annotator", "e.*")
 
     def _run(self, rounds: int, tolerance: float) -> None:
         c = self.prior[0]
         # Start: the share of YES among an item's votes.
-        x = self.sets.groupBy("pattern").agg(F.first("n").alias("n"), F.coalesce(F.avg(F.col("yes").cast("double")), F.lit(0.5)).alias("q"), F.collect_list(F.when(F.col("annotator").isNotNull(), F.struct("annotator", "yes"))).alias("votes"))
-        counts, before = cut(self._update(x), "counts"), None
+        yes = F.size(F.filter("votes", lambda v: v["yes"]))
+        x = self.sets.select("p1", "p2", "n", "votes", F.when(F.size("votes") > 0, yes / F.size("votes")).otherwise(0.5).alias("q"))
+        counts = cut(self._update(x), "counts")
+        pos, neg = self._classes(counts)
+        self.converged = False
         for self.rounds in range(1, rounds + 1):
-            total = counts.where("annotator IS NULL").select("pos", "neg").head()
-            pos, neg = total or (0.0, 0.0)
             both = digamma(np.array([pos + c, neg + c]))
-            post = self._posterior(self._logs(counts), *map(float, both))
-            after = cut(self._update(post), "counts")
+            after = cut(self._update(self._posterior(self._logs(counts), *map(float, both))), "counts")
+            # One aggregate says how far the counts moved and what the classes are now.
             j = after.alias("a").join(counts.alias("b"), F.col("a.annotator").eqNullSafe(F.col("b.annotator")))
-            moved = j.agg(F.max(sum(F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) for k in ("yy", "ny", "pos"))), F.max("a.pos")).head()
-            counts = after
-            if before is not None and (moved[0] is None or moved[0] <= tolerance * max(1.0, moved[1])):
+            none = F.col("a.annotator").isNull()
+            moved = j.agg(F.max(sum(F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")) for k in ("yy", "ny", "pos"))), F.max("a.pos"), F.max(F.when(none, F.col("a.pos"))), F.max(F.when(none, F.col("a.neg")))).head()
+            drop_cut(counts)
+            counts, pos, neg = after, moved[2] or 0.0, moved[3] or 0.0
+            if moved[0] is None or self.rounds > 1 and moved[0] <= tolerance * max(1.0, moved[1]):
+                self.converged = True
                 break
-            before = moved
+        else:
+            warnings.warn(f"consensus did not settle in {rounds} rounds", RuntimeWarning, stacklevel=3)
         self.counts = counts
+        self.posterior = self._posterior(self._logs(counts), *map(float, digamma(np.array([pos + c, neg + c])))).select("p1", "p2", "q")
+
+    @staticmethod
+    def _classes(counts: DataFrame) -> tuple[float, float]:
         total = counts.where("annotator IS NULL").select("pos", "neg").head()
-        pos, neg = total or (0.0, 0.0)
-        self.posterior = self._posterior(self._logs(counts), *map(float, digamma(np.array([pos + c, neg + c])))).select("pattern", "q")
+        return (total["pos"], total["neg"]) if total else (0.0, 0.0)
 
     def per_item(self) -> DataFrame:
         """(item..., p_yes, consensus, n_votes): consensus is the more probable class, NO at exactly one half."""
-        x = self.items.select(*self.keys, "pattern", F.size("votes").alias("n_votes")).join(self.posterior, "pattern")
+        x = self.items.select(*self.keys, "p1", "p2", F.size("votes").alias("n_votes")).join(self.posterior, ["p1", "p2"])
         return x.select(*self.keys, F.col("q").alias("p_yes"), F.when(F.col("q") > 0.5, "YES").otherwise("NO").alias("consensus"), "n_votes")
 
     def per_annotator(self) -> DataFrame:

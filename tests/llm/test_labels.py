@@ -52,10 +52,12 @@ def test_closest_counts_is_exact():
     for _ in range(60):
         sizes = {s: r.randrange(1, 4) for s in r.sample(range(1, 30), r.randrange(1, 5))}
         target = r.randrange(0, 60)
-        take = closest_counts(sizes, target)
-        assert all(0 <= n <= sizes[s] for s, n in take.items())
         totals = {sum(s * n for s, n in zip(sizes, c, strict=True)) for c in itertools.product(*[range(n + 1) for n in sizes.values()])}
-        assert abs(sum(s * n for s, n in take.items()) - target) == min(abs(t - target) for t in totals)
+        # Whatever the bitsets look at first, the result is the closest.
+        for width in (1, 4, 16, 1 << 20):
+            take = closest_counts(sizes, target, width)
+            assert all(0 <= n <= sizes[s] for s, n in take.items())
+            assert abs(sum(s * n for s, n in take.items()) - target) == min(abs(t - target) for t in totals)
 
 
 def test_plan_deals_all_groups():
@@ -68,6 +70,16 @@ def test_plan_deals_all_groups():
             assert abs(sum(s * n for s, p in plan.items() for x, n in p if x == k) - share * total) <= 1
 
 
+def test_totals_far_beyond_the_bitsets():
+    sizes = {1: 5_000_000_000, 7: 10**8, 12_345: 10**4, 10**9: 3}
+    plan = plan_split(sizes, {"a": 0.8, "b": 0.1, "c": 0.1})
+    total = sum(s * n for s, n in sizes.items())
+    assert {s: sum(n for _, n in p) for s, p in plan.items()} == sizes
+    assert sum(s * n for s, p in plan.items() for x, n in p if x == "b") == round(total / 10)
+    # No total meets the target: the closest is found though it takes the widest bitsets.
+    assert closest_counts({1000: 50}, 20_499, 16) == {1000: 20}
+
+
 def test_split_keeps_groups(spark):
     records = spark.createDataFrame([(i,) for i in range(500)] * 2 + [(None,)], "id int").withColumn("component", F.lit(1))
     comps = spark.createDataFrame([(i, i // 10 * 10) for i in range(200)], "id int, component int")
