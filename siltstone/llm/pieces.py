@@ -14,27 +14,71 @@ from pyspark.sql import types as T
 
 from .tokens import SAFE, PartCounter, encoder, small_batches, vocabulary_path
 
-# Levels of the tree, from the outside in: each pattern ends or begins a child.
+# What parts or begins the nodes of the tree.
 _PAGE = regex.compile(r"\f|\n----\n\n//\n\n----\n?")
-_HEADING = regex.compile(r"(?:(?<=\n[^\S\n]*\n)|\A)(?=(?:#{1,6} |<h[1-6]\b|(?:\d{1,2}\.)+\d* )?[^\n]{1,80}(?<![.!?。！？।؟,;:，；、：])\n(?:[^\S\n]*\n|\Z))")
+_TITLED = regex.compile(r"(?m)^(?:(?P<marks>#{1,6})[^\S\n]+\S|[^\S\n]*<h(?P<tag>[1-6])\b)")
+_TITLE = regex.compile(r"(?:(?<=\n[^\S\n]*\n)|\A)(?P<number>\d{1,2}(?:\.\d{1,2})*\.?[^\S\n]+)?[^\n]{1,80}(?<![.!?。！？।؟,;:，；、：\s])[^\S\n]*(?=\n[^\S\n]*\n|\n?\Z)")
+_ITEM = regex.compile(r"(?m)^(?P<indent>[^\S\n]*)(?:(?:[-–—•▪◦‣⁃●○■□∙·*+]|\(?(?:\d{1,3}|[A-Za-z]|[ivx]{1,5})[.)])[^\S\n]+|<(?:li|tr|dt|dd|p)\b)")
 _PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*")
 _LINE = regex.compile(r"\n\s*")
 _SENTENCE = regex.compile(r"(?:[.!?]+[\"'”’»)\]]*(?=\s)|[。！？؟।]+[”’」』）\"]*)")
 _CLAUSE = regex.compile(r"[,;:](?=\s)|[，；、：،؛]")
 _WORD = regex.compile(r"(?<=\S)(?=\s)")
 _GRAPHEME = regex.compile(r"\X")
-_LEVELS = ((_PAGE, False), (_HEADING, True), (_PARAGRAPH, False), (_LINE, False), (_SENTENCE, False), (_CLAUSE, False), (_WORD, True))
-
-
-def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
-    """Parts of text[a:b] at the level; they cover it without gaps."""
-    pattern, before = _LEVELS[level]
-    at = [a]
-    for m in pattern.finditer(text, a, b):
-        p = m.start() if before else m.end()
-        if at[-1] < p < b:
-            at.append(p)
-    return list(zip(at, [*at[1:], b], strict=True))
+# Below pages, sections and lists; whether a child begins where the pattern matches, or after it.
+_PLAIN = ((_PARAGRAPH, False), (_LINE, False), (_SENTENCE, False), (_CLAUSE, False), (_WORD, True))
+_DEEPEST = 7
+
+
+class Tree:
+    """The structure of one text: pages; sections by the rank of their headings; paragraphs; lists by the indentation of their items;
+    lines, sentences, clauses, words. Children cover their node without gaps and are made when asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        ranks: dict[int, int] = {}
+        # A number's parts say how deep a heading stands; other short lines between blank ones stand deepest.
+        for m in _TITLE.finditer(text):
+            if not _ITEM.match(text, m.start()) or m["number"]:
+                ranks[m.start()] = min(_DEEPEST - 1, len(m["number"].strip(" .\t").split("."))) if m["number"] else _DEEPEST
+        for m in _TITLED.finditer(text):
+            ranks[m.start()] = len(m["marks"]) if m["marks"] else int(m["tag"])
+        self.headings = sorted(ranks.items())
+        self.items = [(m.start(), len(m["indent"].expandtabs(4))) for m in _ITEM.finditer(text) if m.start() not in ranks]
+        self._ranks = ranks
+
+    def heading(self, a: int, b: int) -> bool:
+        """Whether text[a:b] is a heading alone."""
+        return a in self._ranks and "\n" not in self.text[a:b].strip()
+
+    def begins_section(self, a: int) -> bool:
+        return a in self._ranks
+
+    def _outermost(self, marks: list[tuple[int, int]], a: int, b: int) -> list[int]:
+        """Places within (a, b) of the marks of the smallest rank there."""
+        inside = marks[bisect_right(marks, (a, 1 << 30)) : bisect_left(marks, (b, -1))]
+        least = min((r for _, r in inside), default=0)
+        return [p for p, r in inside if r == least]
+
+    def children(self, a: int, b: int, level: int) -> tuple[list[tuple[int, int]], int]:
+        """(children of the node text[a:b], level at which to look into them); no children: nothing but letters is left."""
+        while level < len(_PLAIN) + 3:
+            # Sections and lists hold others of their kind, so their children are looked at on the same level.
+            stay = level in (1, 3)
+            if level == 0:
+                places = [m.end() for m in _PAGE.finditer(self.text, a, b)]
+            elif level == 1:
+                places = self._outermost(self.headings, a, b)
+            elif level == 3:
+                places = self._outermost(self.items, a, b)
+            else:
+                pattern, before = _PLAIN[0 if level == 2 else level - 3]
+                places = [m.start() if before else m.end() for m in pattern.finditer(self.text, a, b)]
+            at = [a, *sorted({p for p in places if a < p < b}), b]
+            if len(at) > 2:
+                return list(zip(at, at[1:], strict=False)), level if stay else level + 1
+            level += 1
+        return [], level
 
 
 def _letters(text: str, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
@@ -53,40 +97,39 @@ def _letters(text: str, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]
 def bodies(text: str, limit: int, count: Callable[[int, int], int]) -> list[tuple[int, int]]:
     """Spans that cover text, each of at most limit tokens by count(start, end) (a single larger character stands alone).
 
-    The tree is entered only below nodes over the limit; sibling subtrees are merged from the left as long as they fit.
+    Only nodes over the limit are entered. Below such a node, whole children that stand side by side are merged as long as they
+    fit; what an entered child is cut into is merged with nothing outside of it. A heading goes with the node after it, even where
+    that is entered.
     """
+    tree = Tree(text)
 
-    def units(a: int, b: int, level: int) -> Iterator[tuple[int, int, int]]:
-        """(start, end, tokens) of the node text[a:b], as merged siblings."""
-        n = count(a, b)
-        if n <= limit:
-            yield a, b, n
-            return
-        parts: list[tuple[int, int]] = []
-        while level < len(_LEVELS):
-            parts = _children(text, a, b, level)
-            level += 1
-            if len(parts) > 1:
-                break
-        else:
-            parts = []
-        if len(parts) < 2:
-            for p, q in _letters(text, a, b, limit):
-                yield p, q, count(p, q)
+    def units(a: int, b: int, level: int) -> Iterator[tuple[int, int]]:
+        """The spans of the node text[a:b], which is over the limit."""
+        parts, level = tree.children(a, b, level)
+        if not parts:
+            yield from _letters(text, a, b, limit)
             return
         held: tuple[int, int, int] | None = None
         for p, q in parts:
-            for x in units(p, q, level):
-                if held and held[2] + x[2] <= limit and (n := count(held[0], x[1])) <= limit:
-                    held = held[0], x[1], n
-                else:
-                    if held:
-                        yield held
-                    held = x
+            n = count(p, q)
+            if held and held[2] + n <= limit + 2 and (m := count(held[0], q)) <= limit:
+                held = held[0], q, m
+                continue
+            below = level
+            if held and tree.heading(held[0], held[1]) and not tree.begins_section(p):
+                # A list after a heading is looked at line by line: its items would part it from the heading again.
+                p, n, held, below = held[0], limit + 1, None, level + (level == 3)
+            if held:
+                yield held[:2]
+            held = (p, q, n) if n <= limit else None
+            if held is None:
+                yield from units(p, q, below)
         if held:
-            yield held
+            yield held[:2]
 
-    return [(a, b) for a, b, _ in units(0, len(text), 0)] if text else []
+    if not text:
+        return []
+    return [(0, len(text))] if count(0, len(text)) <= limit else list(units(0, len(text), 0))
 
 
 _STARTS = regex.compile(r"(?<=\s)(?=\S)|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}。！？，、；：])(?=\S)")
@@ -119,9 +162,14 @@ def overlapped(text: str, spans: list[tuple[int, int]], limit: int, overlap: int
     for k, (a, b) in enumerate(spans):
         start, n = a, None
         if k and overlap:
-            low = max(spans[k - 1][0], a - 8 * overlap)
+            low, first, reach = a, spans[k - 1][0], 8 * overlap
+            while low > first:  # as far back as the overlap fits
+                low = max(first, a - reach)
+                reach *= 4
+                if tally(low, a) > overlap:
+                    break
             places = [m.start() for m in _STARTS.finditer(text, low, a) if low <= m.start() < a] or [p for p in range(max(low, a - overlap), a) if p > low]
-            if low == spans[k - 1][0] and low not in places:
+            if low == first and low not in places:
                 places.insert(0, low)
             i, j = 0, len(places)
             while i < j:  # the earliest place from which the overlap and the whole piece fit
@@ -155,8 +203,9 @@ def pieces(text: str, limit: int, overlap: int, count: Callable[[str], int], cou
 def cut_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, path: str | None = None) -> DataFrame:
     """(key, piece_no, start_char, body_char, end_char, n_tokens): the pieces of every text of df.
 
-    A text of at most limit tokens is one piece. Longer ones are cut at the outermost boundaries of their structure that allow
-    it: pages, headings, paragraphs, lines and list items, sentences, clauses, words, at last characters. Bodies
+    A text of at most limit tokens is one piece. Longer ones are cut along the tree of their structure, at the outermost boundaries
+    that allow it: pages, sections by the rank of their headings, paragraphs, lists by indentation, lines, sentences, clauses, words,
+    at last characters. Bodies
     [body_char, end_char) cover the text without gap or overlap; a piece begins at start_char, up to overlap tokens before its
     body (the nearest word boundary that doesn't exceed it). A piece has at most limit tokens, unless a single character has more.
     Places count code points from 0; piece_no counts from 1. NULL and empty texts give no piece. Rows with equal or NULL

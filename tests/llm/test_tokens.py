@@ -5,7 +5,7 @@ import pytest
 
 from siltstone.llm import tokens as K
 from siltstone.llm.packing import fill, fill_containers, hilbert_key, packed_stream
-from siltstone.llm.pieces import Tally, bodies, cut_texts, overlapped, pieces
+from siltstone.llm.pieces import Tally, Tree, bodies, cut_texts, overlapped, pieces
 
 PATH = K.vocabulary_path()
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files here")
@@ -156,3 +156,41 @@ def test_cut_texts_cases(spark):
     assert max(m[3] for m in mine) <= 64
     with pytest.raises(ValueError, match="overlap"):
         cut_texts(spark.createDataFrame(rows, "id int, text string, piece_no string"), "id", "text", 8, 8)
+
+
+NESTED = "# A\ntext one here\n## B\n" + "word " * 30 + "\n### C\nmore text in c\n## B2\nlast b\n# D\nend of it\n- item\n  - sub a\n  - sub b\n- item two\n"
+
+
+def test_sections_nest_and_siblings_merge():
+    n = lambda a, b: len(NESTED[a:b].split())
+    got = [NESTED[a:b] for a, b in bodies(NESTED, 60, n)]
+    assert [x[:3] for x in got] == ["# A", "# D"]
+    got = [NESTED[a:b] for a, b in bodies(NESTED, 40, n)]
+    # B with its C is a subtree of its own: it is entered alone, and what it is cut into is merged with nothing beside it.
+    assert [x.split("\n")[0] for x in got] == ["# A", "## B", "## B2", "# D"]
+    got = [NESTED[a:b] for a, b in bodies(NESTED, 12, n)]
+    assert "- item\n  - sub a\n  - sub b\n- item two\n" in got
+    assert all(not x.strip().startswith("#") or "\n" in x.strip() for x in got)
+
+
+def test_ranks_of_headings():
+    t = Tree("1. Intro\n\nText.\n\n1.1 Sub\n\nText\n\nPlain Title\n\nmore text.\n### C\n<h2>D</h2>")
+    assert [r for _, r in t.headings] == [1, 2, 7, 7, 3, 2]
+
+
+def test_overlap_of_long_words():
+    word = "x" * 70
+    text = "\n\n".join(" ".join([word] * 12) for _ in range(12))
+    count = lambda s: len(s.split())
+    spans = bodies(text, 12, lambda a, b: count(text[a:b]))
+    got = overlapped(text, spans, 24, 8, count)
+    assert all(count(text[s:b]) == 8 for s, b, *_ in got[1:])
+
+
+def test_headings_in_a_row_and_before_lists():
+    n = lambda t: lambda a, b: len(t[a:b].split())
+    for t in ("# A\n# B\n# C\n" + "word " * 20, "# A\n## B\n### C\n" + "word " * 20, "Title\n\n- a b c d\n- e f g h\n- i j k l", "Title\n\nOther Title\n\nThird\n\n" + "word " * 9, "# A\n\n# A\n\n# A", "1. a b c\n1.1 d e f\n1.1.1 g h i"):
+        for limit in (1, 2, 3, 5, 8):
+            got = bodies(t, limit, n(t))
+            assert "".join(t[a:b] for a, b in got) == t
+            assert all(n(t)(a, b) <= limit or not t[a:b].strip(" \n").count(" ") for a, b in got)
