@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +43,8 @@ _NEXT = re.compile(r"[\s\"'“„«「『‹(\[¿¡]*([^\W_][^\s,.;:!?]*)?")
 _UNCASED = re.compile(r"\s+[\u0590-\u0dff\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]")
 _QUOTE = re.compile(r"[\"“”„«»「」『』‹›]")
 
-#: A unit has at most so many candidates of a positive score, and so many of any, before its end; those in closed quotations are none.
-REACH, FAR = 24, 400
+#: Code points from which a unit is too long, and those that cost a point more.
+LONG, SLOPE = 700, 300
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -182,34 +183,47 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int]]:
             total += quoted[k][1] - quoted[k][0]
             k += 1
         inside.append(total)
-    good = [0]
-    for _, score in ends:
-        good.append(good[-1] + (score > 0))
-    low = 0
+    # Every earlier start is looked at, whatever lies between: starts of one state (counts of quotation marks before them, whether they open
+    # a quotation) differ only in what was best up to them and, beyond LONG, in their place. So a state keeps the best of those
+    # near enough, in a queue of falling values, and the best of those further away.
+    place = [p - q for p, q in zip([a, *[e for e, _ in ends]], inside, strict=True)]
+    opens_quote = []
+    for p in starts:
+        while p < b and text[p].isspace():
+            p += 1
+        opens_quote.append(p in first)
     best, back = [0.0] + [-1e18] * len(ends), [0] * (len(ends) + 1)
+    near: dict[tuple[int, int, bool], deque[int]] = {}
+    far: dict[tuple[int, int, bool], tuple[float, int]] = {}
+    ready = 0
     for j in range(1, len(ends) + 1):
         end, score = ends[j - 1]
-        while good[j - 1] - good[low] >= REACH or j - low > FAR:
-            low += 1
-        for i in range(low, j):
-            s = best[i] + score
-            if marks:
-                s -= 6.0 * abs(at[j][0] - at[i][0]) + 6.0 * ((at[j][1] - at[i][1]) & 1)
-                # A unit that is a quotation, though text goes on without a blank or in a script without capitals: who said it
-                # follows.
-                if j < len(ends) and text[end - 1] in "”」』»\"" and (not text[end].isspace() or _UNCASED.match(text, end, b)):
-                    p = starts[i]
-                    while p < end and text[p].isspace():
-                        p += 1
-                    if p in first:
-                        s -= 12.0
-            n = end - starts[i]
-            if n < 4:
-                s -= 2.0
-            elif (n := n - inside[j] + inside[i]) > 700:
-                s -= (n - 700) / 300
-            if s > best[j]:
-                best[j], back[j] = s, i
+        while ready < j and end - starts[ready] >= 4:
+            q = near.setdefault((at[ready][0], at[ready][1] & 1, opens_quote[ready]), deque())
+            while q and best[q[-1]] < best[ready]:
+                q.pop()
+            q.append(ready)
+            ready += 1
+        # Who said it follows: a unit that is a quotation, though text goes on without a blank or in a script without capitals.
+        said = bool(marks) and j < len(ends) and text[end - 1] in "”」』»\"" and (not text[end].isspace() or _UNCASED.match(text, end, b) is not None)
+        found: list[tuple[float, int]] = []
+
+        def cost(net: int, odd: int, quote: bool, j: int = j, said: bool = said) -> float:
+            return 6.0 * abs(at[j][0] - net) + 6.0 * ((at[j][1] - odd) & 1) + 12.0 * (said and quote)
+
+        for state, q in near.items():
+            while q and place[q[0]] < place[j] - LONG:
+                i = q.popleft()
+                old = far.get(state, (-1e18, 0))
+                far[state] = max(old, (best[i] + place[i] / SLOPE, -i))
+            if q:
+                found.append((best[q[0]] - cost(*state), -q[0]))
+            if state in far:
+                v, i = far[state]
+                found.append((v - (place[j] - LONG) / SLOPE - cost(*state), i))
+        found.extend((best[i] - 2.0 - cost(at[i][0], at[i][1], opens_quote[i]), -i) for i in range(ready, j))
+        v, i = max(found)
+        best[j], back[j] = score + v, -i
     out, j = [], len(ends)
     while j:
         out.append((starts[back[j]], ends[j - 1][0]))

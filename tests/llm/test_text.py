@@ -126,3 +126,14 @@ def test_scan_repair(spark):
 def test_scan_repair_of_nothing(spark):
     df = spark.createDataFrame([], "origin string, id long, text string")
     assert ScanRepair(df, spark.createDataFrame([], "text string, scan boolean")).found().count() == 0
+
+
+def test_units_of_any_reach():
+    from siltstone.llm.sentences import sentence_spans
+
+    for n in (23, 30, 60, 500, 3000):
+        t = "See " + "fig. " * n + "for more."
+        assert len(sentence_spans(t)) == 1
+        # Long units cost more than their ends are worth only where there are ends of a positive score.
+        assert len(sentence_spans(t + " It ends here. Then more.")) == 3
+    assert len(sentence_spans("It is so. " * 2000)) == 2000
