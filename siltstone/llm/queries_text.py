@@ -24,7 +24,7 @@ def _repair(spark: SparkSession, sf_dir: str) -> ScanRepair:
     raw = table(spark, sf_dir, "raw_texts").select(F.lit("raw_texts").alias("origin"), F.col("statement_id").cast("long").alias("id"), F.col("fitz_text").alias("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "extractor")
     scans = docs.where("extractor = 'scan'").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text").unionByName(raw)
-    words = docs.where("coalesce(extractor, '') <> 'manual'").select("text", (F.col("extractor") == "scan").alias("scan")).unionByName(raw.select("text", F.lit(True).alias("scan")))
+    words = docs.select("text", F.coalesce(F.col("extractor") == "scan", F.lit(False)).alias("scan")).unionByName(raw.select("text", F.lit(True).alias("scan")))
     return ScanRepair(spread(scans), words)
 
 

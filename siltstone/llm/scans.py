@@ -31,7 +31,8 @@ USUAL = 1e-4
 TOKEN_LINES = ("----", "//")
 DIVIDERS = "-­¬‐‑"
 _ENDS = ".,;:!?()[]{}\"'“”„‟‘’‚«»‹›…·•"
-_LATIN = re.compile(r"[^Ͱ-᷿⺀-\U0010ffff]{1,40}")
+# Scripts that are written without blanks have no words that blanks part.
+_BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _LETTER = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(
     r"\d{1,3}|[ivxl1|]{1,7}|[-–—] ?\w{1,4} ?[-–—]|[\[(]\w{1,4}[\])]|\W{0,2}P\w{1,3}g\w ?\w{1,4}(?: \wf \w{1,4})?|\w{1,3} ?/ ?\w{1,3}|P\w{1,3}g\w \w{1,4} ?/ ?\w{1,4}",
@@ -63,7 +64,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for k in (0, 1):
                 for t, n in counts[k].items():
                     w = core(t).lower()
-                    if w and _LATIN.fullmatch(w) and _LETTER.search(w):
+                    if w and _LETTER.search(w) and not _BLANKLESS.search(w):
                         words.setdefault(w, [0, 0])[k] += n
                 counts[k].clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *[pa.array([v[k] for v in words.values()], pa.int64()) for k in (0, 1)]], names=["word", "n_clean", "n_scan"])
@@ -217,7 +218,7 @@ class ScanRepair:
                         tokens = lines[i].split()
                         for w in dict.fromkeys(tokens[first : len(tokens) - last]):
                             w = core(w)
-                            if w and w.lower() not in frequent and len(w) > 1 and not _ADDRESS.search(w) and _LETTER.search(w) and _LATIN.fullmatch(w):
+                            if w and w.lower() not in frequent and len(w) > 1 and not _ADDRESS.search(w) and _LETTER.search(w) and not _BLANKLESS.search(w):
                                 rows.append((k, i + 1, "misread", w, "", ""))
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 take = pa.array(cols[0], pa.int64())
@@ -227,6 +228,11 @@ class ScanRepair:
         text = [T.StructField(c, T.StringType()) for c in ("kind", "a", "mark", "b")]
         return self.scans.mapInArrow(run, T.StructType([s["origin"], s["id"], T.StructField("line_no", T.IntegerType()), *text]))
 
+    @staticmethod
+    def _spread(df: DataFrame, *by: str) -> DataFrame:
+        """Narrow rows that cost much each, by number over all shuffle partitions: their few bytes would be put into one task."""
+        return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *by)
+
     def _supported(self, tried: DataFrame) -> DataFrame:
         """tried (key, word, way, score, ...) with n_clean and n_scan of word."""
         return tried.join(self.words, "word", "left").na.fill(0, ["n_clean", "n_scan"])
@@ -245,7 +251,7 @@ class ScanRepair:
                         rows.extend((w, x, k, s, apply(w, edits)) for k, (x, s, edits) in enumerate(editor.candidates(low)))
                 yield pd.DataFrame(rows, columns=["a", "word", "way", "score", "fixed"])
 
-        unusual = self.cases.where("kind = 'misread'").select("a").distinct()
+        unusual = self._spread(self.cases.where("kind = 'misread'").select("a").distinct(), "a")
         tried = self._supported(unusual.mapInPandas(run, "a string, word string, way int, score double, fixed string"))
         best = tried.groupBy("a").agg(
             F.max(F.when(F.col("way") < 0, F.struct("n_clean", "n_scan"))).alias("own"),
@@ -275,7 +281,7 @@ class ScanRepair:
                             rows.extend((a, m, b, x, k, s - 6.0 - 3.0 * hyphen * (m != "-"), apply(w, e)) for k, (x, s, e) in enumerate(editor.candidates(low, 12)))
                 yield pd.DataFrame(rows, columns=["a", "mark", "b", "word", "way", "score", "fixed"])
 
-        pairs = self.cases.where("kind = 'hyphen'").select("a", "mark", "b").distinct()
+        pairs = self._spread(self.cases.where("kind = 'hyphen'").select("a", "mark", "b").distinct(), "a", "b")
         tried = self._supported(pairs.mapInPandas(run, "a string, mark string, b string, word string, way int, score double, fixed string"))
         parts = tried.groupBy("a", "mark", "b").agg(F.max(F.when(F.col("n_clean") + F.col("n_scan") > 0, F.struct((F.log2(1 + F.col("n_clean") * 4 + F.col("n_scan")) + F.col("score")).alias("s"), "fixed"))).alias("best"))
         # Unknown either way: the hyphen is the word's own if both halves are words.
