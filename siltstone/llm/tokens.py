@@ -5,7 +5,7 @@ they stand. A chunk is encoded once and kept; what its ends would have merged in
 place before a joint at which the tokenizer always parts words to the first such place after it, the text is encoded anew (and
 kept, too). If a chunk has no such place the repair goes on into the next chunk. Ids therefore equal those of the whole text.
 
-Chunks are kept per task, within a bound on their number: a memo needs no shuffle, while a table of the chunks of a whole corpus
+Chunks are kept per worker, within bounds on their number and size: a memo needs no shuffle, while a table of the chunks of a whole corpus
 would have to move all of its text and ids twice.
 """
 
@@ -54,8 +54,9 @@ def encoding(path: str):  # noqa: ANN201
     return _ENCODINGS[path]
 
 
-def chunk_ends(text: str, bits: int = 7, least: int = 48) -> list[int]:
-    """Content-defined ends of chunks in text, the last being its length; chunks have about 2**bits code points, at least `least`."""
+def chunk_ends(text: str, bits: int = 7, least: int = 48, most: int = 4096) -> list[int]:
+    """Content-defined ends of chunks in text, the last being its length; chunks have about 2**bits code points, at least `least`
+    and, where the content gives no end, `most` (the last one up to most + least)."""
     n = len(text)
     if n <= 2 * least:
         return [n]
@@ -66,7 +67,10 @@ def chunk_ends(text: str, bits: int = 7, least: int = 48) -> list[int]:
         h = g
     at = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
     ends, last = [], 0
-    for e in at.tolist():
+    for e in (*at.tolist(), n):
+        while e - last > most + least:
+            last += most
+            ends.append(last)
         if e - last >= least and n - e >= least:
             ends.append(e)
             last = e
@@ -75,11 +79,11 @@ def chunk_ends(text: str, bits: int = 7, least: int = 48) -> list[int]:
 
 
 class ChunkEncoder:
-    """Ids of texts, by chunks that are kept; keep: how many chunks and repairs at most."""
+    """Ids of texts, by chunks that are kept; keep: how many chunks and repairs at most, held: how many code points of chunks."""
 
-    def __init__(self, path: str, keep: int = 150_000) -> None:
+    def __init__(self, path: str, keep: int = 150_000, held: int = 1 << 25) -> None:
         self.enc = encoding(path).encode_ordinary
-        self.keep = keep
+        self.keep, self.held, self.size = keep, held, 0
         self.chunks: dict[str, tuple[int, array | None, int]] = {}
         self.joints: dict[str, array] = {}
         self.hits = self.misses = 0
@@ -118,9 +122,11 @@ class ChunkEncoder:
                     for m in SAFE.finditer(s, a):
                         b = m.start()
                 got = (a, self._ids(s[a:b]), b)
-            if len(self.chunks) >= self.keep:
+            if len(self.chunks) >= self.keep or self.size > self.held:
                 self.chunks.clear()
+                self.size = 0
             self.chunks[s] = got
+            self.size += len(s)
         else:
             self.hits += 1
         return got

@@ -194,3 +194,12 @@ def test_headings_in_a_row_and_before_lists():
             got = bodies(t, limit, n(t))
             assert "".join(t[a:b] for a, b in got) == t
             assert all(n(t)(a, b) <= limit or not t[a:b].strip(" \n").count(" ") for a, b in got)
+
+
+def test_chunks_have_a_largest_size():
+    for t in ("a" * 50_000, "ab " * 20_000, "x" * 4200, "x" * 8193):
+        ends = K.chunk_ends(t)
+        assert ends[-1] == len(t)
+        assert all(b - a <= 4096 + 48 for a, b in zip([0, *ends], ends, strict=False))
+        e = K.ChunkEncoder(K.vocabulary_path(), held=5000)
+        assert list(e.encode(t)) == K.encoding(K.vocabulary_path()).encode_ordinary(t)
