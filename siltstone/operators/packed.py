@@ -154,10 +154,11 @@ class Grammar:
 VALUES = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("malformed", T.BooleanType())]))
 
 
-def packed_values(c: Column, known: Iterable[str] = ()) -> Column:
+def packed_values(c: Column, known: Iterable[str] = (), of_row: Column | None = None) -> Column:
     """array<struct<pos, value, malformed>> of the packed field c; pos counts from 1.
 
-    NULL, blank and "nothing" fields give an empty array. Equal fields of a batch are parsed once.
+    known: values that are never split; of_row: an array column with further ones for the row's own text. NULL, blank and "nothing"
+    fields give an empty array. Equal fields of a batch are parsed once.
     """
     words = tuple(known)
 
@@ -165,37 +166,69 @@ def packed_values(c: Column, known: Iterable[str] = ()) -> Column:
     def parse(fields: pd.Series) -> pd.Series:
         g, seen = Grammar(words), {None: []}
         for s in fields.dropna().unique():
-            seen[s] = [{"pos": k, "value": v, "malformed": bad} for k, (v, bad) in enumerate(g.parse(s), 1)]
+            seen[s] = _listed(g, s)
         return fields.map(lambda s: seen[s] if isinstance(s, str) else [])
 
-    return parse(c)
+    @F.pandas_udf(VALUES)
+    def parse_with(fields: pd.Series, own: pd.Series) -> pd.Series:
+        seen: dict[str, list] = {}
+        for s, k in zip(fields, own, strict=True):
+            if isinstance(s, str) and s not in seen:
+                seen[s] = _listed(Grammar((*words, *(k if k is not None else ()))), s)
+        return fields.map(lambda s: seen[s] if isinstance(s, str) else [])
+
+    return parse(c) if of_row is None else parse_with(c, of_row)
+
 
+def _listed(g: Grammar, s: str) -> list[dict]:
+    return [{"pos": k, "value": v, "malformed": bad} for k, (v, bad) in enumerate(g.parse(s), 1)]
 
-def known_of(known_values: DataFrame | None, limit: int = 10_000) -> dict[str, list[str]]:
-    """field -> values of a table of known values. It goes into the grammar, so it must be small: over limit rows is an error."""
+
+def known_of(known_values: DataFrame | None, limit: int = 10_000) -> dict[str, list[str]] | DataFrame:
+    """field -> values of a table of known values, for the grammar. A table of more than limit rows stays one: unpack_fields() then finds
+    the values of each text by a join."""
     if known_values is None:
         return {}
-    rows = known_values.where("field IS NOT NULL AND known_value IS NOT NULL").select("field", "known_value").distinct().limit(limit + 1).collect()
+    some = known_values.where("field IS NOT NULL AND known_value IS NOT NULL").select("field", "known_value").distinct()
+    rows = some.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} known values")
+        return some
     out: dict[str, list[str]] = {}
     for f, v in rows:
         out.setdefault(f, []).append(v)
     return out
 
 
-def unpack_fields(df: DataFrame, key: str, fields: Iterable[str], known: dict[str, list[str]] | None = None, version: str | None = None) -> DataFrame:
+def known_in(texts: DataFrame, known_values: DataFrame) -> DataFrame:
+    """(field, text, known): for distinct texts (field, text) the known values that stand in them. They meet over their first word, so
+    neither side is ever on one machine; values without a letter or figure are in no text."""
+    word = r"[\p{L}\p{N}]+"
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    k = known_values.select("field", "known_value", plain(F.col("known_value")).alias("plain")).withColumn("word", F.regexp_extract("plain", word, 0)).where("word <> ''")
+    t = texts.select("field", "text", plain(F.col("text")).alias("folded"))
+    t = t.select("field", "text", "folded", F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(f"({word})")))).alias("word"))
+    met = t.join(k, ["field", "word"]).where(F.contains("folded", "plain"))
+    return met.groupBy("field", "text").agg(F.collect_set("known_value").alias("known"))
+
+
+def unpack_fields(df: DataFrame, key: str, fields: Iterable[str], known: dict[str, list[str]] | DataFrame | None = None, version: str | None = None) -> DataFrame:
     """One row (key, field, pos, value, malformed) per value of each packed field of df.
 
-    version: rows of one key are versions of it; the one with the largest version counts (ties: the largest field values).
-    Without it every row counts. Rows whose key is NULL are kept under the NULL key. Other columns of df, whatever their
-    names, are not read. Empty df: no rows.
+    known: as from known_of(), a table (field, known_value) of any size or values by field. version: rows of one key are versions of it;
+    the one with the largest version counts (ties: the largest field values). Without it every row counts. Rows whose key is NULL are kept under
+    the NULL key. Other columns of df, whatever their names, are not read. Empty df: no rows.
     """
     fields = list(fields)
     base = df.select(F.col(f"`{key}`").alias("key"), *([F.col(f"`{version}`").alias("version")] if version else []), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     if version:
         last = F.max(F.struct("version", *[f"f{i}" for i in range(len(fields))])).alias("r")
         base = base.groupBy("key").agg(last).select("key", *[F.col(f"r.f{i}").alias(f"f{i}") for i in range(len(fields))])
+    if isinstance(known, DataFrame):
+        each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("text")) for i, f in enumerate(fields)])
+        rows = base.select("key", F.explode(each).alias("e")).select("key", "e.field", "e.text").where("text IS NOT NULL")
+        found = known_in(rows.select("field", "text").distinct(), known)
+        lists = rows.join(found, ["field", "text"], "left").select("key", "field", packed_values(F.col("text"), (), F.col("known")).alias("vs"))
+        return lists.select("key", "field", F.explode("vs").alias("v")).select(F.col("key").alias(key), "field", "v.pos", "v.value", "v.malformed")
     lists = base.select("key", *[packed_values(F.col(f"f{i}"), (known or {}).get(f, ())).alias(f"v{i}") for i, f in enumerate(fields)])
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("vs")) for i, f in enumerate(fields)])
     return lists.select("key", F.explode(each).alias("e")).select("key", "e.field", F.explode("e.vs").alias("v")).select(F.col("key").alias(key), "field", "v.pos", "v.value", "v.malformed")

@@ -69,8 +69,21 @@ def test_null_gives_empty_list(spark):
     assert df.head()["v"] == []
 
 
-def test_known_values_have_a_bound(spark):
+def test_many_known_values_stay_a_table(spark):
     df = spark.createDataFrame([("f", f"v{i}") for i in range(5)] + [("f", None), (None, "x")], "field string, known_value string")
     assert sorted(known_of(df)["f"]) == [f"v{i}" for i in range(5)]
-    with pytest.raises(ValueError, match="known values"):
-        known_of(df, limit=3)
+    assert known_of(df, limit=3).count() == 5
+
+
+def test_known_values_of_any_number(spark, data):
+    s, k = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("statements", "known_values"))
+    fields = ["countries", "industry_sectors", "entities"]
+    few, many = known_of(k), known_of(k, limit=1)
+    assert isinstance(few, dict)
+    assert not isinstance(many, dict)
+    rows = lambda known: sorted(tuple(r) for r in unpack_fields(s, "statement_id", fields, known, "loaded_at").collect())
+    assert rows(few) == rows(many)
+    more = many.unionByName(spark.range(12_000).selectExpr("'countries' AS field", "concat('Land ', id, ', Upper') AS known_value"))
+    x = spark.createDataFrame([(1, "Land 11, Upper, Land 12 | Land 5, Upper; -")], "id int, countries string")
+    got = [r["value"] for r in unpack_fields(x, "id", ["countries"], known_of(more)).orderBy("pos").collect()]
+    assert got == ["Land 11, Upper", "Land 12", "Land 5, Upper"]
