@@ -13,7 +13,7 @@ def best_match(sentences: Column, excerpt: Column, threshold: float = 0.0) -> Co
 
     Stages: exact (score 1), inside a sentence (0.999), nearest (1 - distance / longer length). The first index wins ties. A stage is
     only computed where those before it failed. The nearest keeps the best so far: a distance is computed only up to what
-    would still beat it, and not at all where the lengths alone rule that out.
+    would still beat it, and not at all where the lengths alone rule that out. A threshold above 1 leaves the last stage out.
     """
     made = lambda idx, score, stage: F.struct(idx.cast("int").alias("idx"), score.alias("score"), F.lit(stage).alias("stage"))
     same = F.array_position(sentences, excerpt)
@@ -30,6 +30,8 @@ def best_match(sentences: Column, excerpt: Column, threshold: float = 0.0) -> Co
         return F.when(d.isNotNull() & (d >= 0), F.struct(at.alias("idx"), (1 - d / longest).alias("score"), at.alias("at"))).otherwise(F.struct(acc["idx"].alias("idx"), acc["score"].alias("score"), at.alias("at")))
 
     near = F.aggregate(sentences, start, step, lambda acc: F.when((acc["idx"] >= 0) & (acc["score"] >= threshold), made(acc["idx"], F.round(acc["score"], 6), "near")))
+    if threshold > 1:  # no score reaches it: the last stage isn't there at all
+        near = F.lit(None).cast("struct<idx: int, score: double, stage: string>")
     found = F.when(same > 0, made(same - 1, F.lit(1.0), "exact")).otherwise(F.when(within > 0, made(within - 1, F.lit(WITHIN), "inside")).otherwise(near))
     return F.when((F.size(sentences) > 0) & excerpt.isNotNull(), found)
 
