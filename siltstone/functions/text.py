@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from datetime import date
 
 import pandas as pd
@@ -53,13 +54,21 @@ def _initials(words: tuple[str, ...]) -> str:
     return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c bound to a variable: it is computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def without_dots(c: Column, pattern: str) -> Column:
     """c without the dots inside the matches of pattern, found in one pass."""
     pattern = {NEVER_PATTERN: _initials(NEVER_END), MAY_PATTERN: _initials(MAY_END)}.get(pattern, "") + pattern
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    between = F.split(c, pattern)
-    bare = F.concat(F.transform(found, lambda m: F.replace(m, F.lit("."), F.lit(""))), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, bare, lambda a, b: F.concat(a, b)), "")
+
+    def joined(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        bare = F.concat(F.transform(found, lambda m: F.replace(m, F.lit("."), F.lit(""))), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(x, pattern), bare, lambda a, b: F.concat(a, b)), "")
+
+    return _bound(c, joined)
 
 
 def repaired_abbreviations(c: Column) -> Column:
@@ -70,9 +79,10 @@ def cleaned_sentence(c: Column, last_year: int | None = None) -> Column:
     """Section number off, ASCII only, one pass of punctuation off each end, white space collapsed."""
     section, year = section_pattern(last_year)
     x = F.when(c.rlike(year), c).otherwise(F.regexp_replace(c, section, ""))
-    x = F.regexp_replace(x, r"[^\x{00}-\x{7F}]", "")
+    # Guards: most sentences have nothing to take out.
+    x = _bound(x, lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(F.regexp_replace(v, r"[^\x{00}-\x{7F}]", "")))
     x = F.regexp_replace(x, rf"^{WS}*[{EDGE}]+{WS}*", "")
-    x = F.regexp_replace(x, rf"{WS}*[{EDGE}]+{WS}*$", "")
+    x = _bound(x, lambda v: F.when(F.substring(v, -1, 1).rlike(f"[{WS[1:-1]}{EDGE}]"), F.regexp_replace(v, rf"{WS}*[{EDGE}]+{WS}*$", "")).otherwise(v))
     # Single plain blanks stay as they are.
     return F.trim(F.regexp_replace(x, rf"{WS}{{2,}}|[\t\n\x{{0B}}\f\r\x{{1C}}-\x{{1F}}]", " "))
 

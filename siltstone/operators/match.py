@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.edits import Texts, nearest
 
 WITHIN = 0.999
+STAGES = ["exact", "inside", "near"]
 
 
 def best_match(sentences: Column, excerpt: Column, threshold: float = 0.0) -> Column:
@@ -39,12 +48,67 @@ def best_match(sentences: Column, excerpt: Column, threshold: float = 0.0) -> Co
 def matched(excerpts: DataFrame, sentences: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
     """excerpts (key, part, excerpt) with (matched_idx, score, stage) from sentences (key, idx, sentence), as best_match() says.
 
-    Sentences meet as one array per key, so one join on the key serves all stages and nothing is computed twice; excerpts stay
-    rows of their own, so a key with many of them is spread by the join. Excerpts of keys without sentences, and NULL ones,
-    have no row.
+    Sentences and excerpts meet as one array each per key, so one join on the key serves all stages and no sentence moves twice. The
+    nearest of many keys' excerpts are looked for at once (functions/edits.py). Excerpts of keys without sentences, and
+    NULL ones, have no row.
     """
     arrays = sentences.where("sentence IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("_s"))
     arrays = arrays.select(key, F.transform("_s", lambda s: s["sentence"]).alias("_s"), F.transform("_s", lambda s: s["idx"]).alias("_i"))
-    x = excerpts.where("excerpt IS NOT NULL").select(key, "part", "excerpt").join(arrays, key)
-    x = x.select(key, "part", "excerpt", "_i", best_match(F.col("_s"), F.col("excerpt"), threshold).alias("_m")).where("_m IS NOT NULL")
-    return x.select(key, "part", "excerpt", F.get("_i", F.col("_m.idx")).alias("matched_idx"), F.col("_m.score").alias("score"), F.col("_m.stage").alias("stage"))
+    asked = excerpts.where("excerpt IS NOT NULL").groupBy(key).agg(F.collect_list(F.struct("part", "excerpt")).alias("_x"))
+    asked = asked.select(key, F.transform("_x", lambda x: x["excerpt"]).alias("_x"), F.transform("_x", lambda x: x["part"]).alias("_p"))
+    part, idx = excerpts.schema["part"].dataType, sentences.schema["idx"].dataType
+    kept = [excerpts.schema[key], T.StructField("part", part), T.StructField("excerpt", T.StringType()), T.StructField("matched_idx", idx), T.StructField("score", T.DoubleType()), T.StructField("stage", T.StringType())]
+    found = asked.join(arrays, key).select(key, "_x", "_p", "_s", "_i").mapInArrow(best_matches(threshold), T.StructType(kept))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def best_matches(threshold: float = 0.0, most: int = 1 << 24) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step from (key, excerpts, parts, sentences, idxs) to (key, part, excerpt, matched_idx, score, stage), as best_match() says but
+    for the rounding of scores. Keys of about `most` bytes are looked at together."""
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        key, xs, ps, ss, ids = b.columns
+        x, s = xs.flatten().to_pylist(), ss.flatten().to_pylist()
+        many, count = pc.list_value_length(xs).to_numpy(), pc.list_value_length(ss).to_numpy()
+        first = np.repeat(np.cumsum(count, dtype=np.int64) - count, many)
+        count = np.repeat(count, many).astype(np.int64)
+        at, score, stage = np.full(len(x), -1), np.zeros(len(x)), np.full(len(x), 2)
+        places: dict[str, int] = {}
+        begin = -1
+        for k, (e, f, n) in enumerate(zip(x, first.tolist(), count.tolist(), strict=True)):
+            if f != begin:
+                begin, own = f, s[f : f + n]
+                places = {}
+                for i, t in enumerate(own):
+                    places.setdefault(t, i)
+            if e in places:
+                at[k], score[k], stage[k] = f + places[e], 1.0, 0
+                continue
+            i = next((i for i, t in enumerate(own) if e in t), -1)
+            if i >= 0:
+                at[k], score[k], stage[k] = f + i, WITHIN, 1
+        rest = np.flatnonzero(at < 0)
+        if len(rest) and threshold <= 1:
+            a, texts = Texts([x[k] for k in rest.tolist()]), Texts(s)
+            which, d = nearest(a, texts, first[rest], count[rest])
+            at[rest] = first[rest] + which
+            score[rest] = 1 - d / np.maximum(np.maximum(a.size, texts.size[at[rest]]), 1)
+        good = np.flatnonzero((at >= 0) & ((stage < 2) | (score >= threshold)))
+        take = pa.array(good)
+        of = np.repeat(np.arange(b.num_rows), many)[good]
+        columns = [key.take(pa.array(of)), ps.flatten().take(take), xs.flatten().take(take), ids.flatten().take(pa.array(at[good])), pa.array(score[good]), pa.array(STAGES).take(pa.array(stage[good]))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "part", "excerpt", "matched_idx", "score", "stage"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.zeros(b.num_rows + 1, np.int64)
+            for c in (b.column(1), b.column(3)):
+                texts = c.flatten()
+                ends += np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])[np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy())])]
+            k = 0
+            while k < b.num_rows:
+                to = max(k + 1, int(np.searchsorted(ends, ends[k] + most, side="right")) - 1)
+                yield rows(b.slice(k, to - k))
+                k = to
+
+    return run
