@@ -8,8 +8,8 @@ Texts are compared in lower case and folded, as sets of substrings of `gram` cod
 3. Texts meet over keys (meeting_keys). A key is a band of `ROWS` min-hashes over all tokens, so two texts of similarity s have each key in common with probability
    s ** ROWS, whatever their size, where they differ, and how many other texts have it. All of the keys of a pair at 0.6 differ
    in far less than one of 1,000 pairs. Four bits of each min-hash go along; of pairs with a common key only those go on that have
-   as many of them in common as the similarity lets expect, less 3.5 deviations. Keys of very many texts, as a shared passage makes
-   them, are replaced by pairs of such keys, and pairs of very many texts by triples.
+   as many of them in common as the similarity lets expect, less 3.5 deviations. Texts of keys of very many texts, as a shared passage makes
+   them, are compared in the same way, all with all, but in blocks (block_pairs) and not by a join.
 4. Texts with the same smallest shared key make a group, parted by a hash into about 64 texts at most; the matrix has the union of
    its sketched tokens and the smallest number of tokens.
 5. A text meets the groups of those texts. The overlap of its sketch with the group's union bounds that with any member. Only groups that can reach the similarity, less a margin of 3.5 deviations of the
@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,9 +220,69 @@ def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """(id, key, texts): the postings (id, key) whose key has at least two texts, with the number of its texts."""
+    counts = cut(postings.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "counts")
+    return cut(postings.join(bounded(counts), "key").select("id", "key", "texts"), "postings")
+
+
+def block_pairs(hot: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs (id, o_id), id < o_id, of texts that have a key in common and pass the comparison of sizes and min-hashes; hot: (key, texts, id, n, signs).
+
+    All texts of a key are compared with all others, in squares of two blocks of about `block` texts: nothing is left out, and a key of any
+    number of texts is spread over many groups. A pair of texts of fitting sizes costs a comparison of 64 bytes.
+    """
+    kind = hot.schema["id"].dataType
+    blocks = F.ceil(F.col("texts") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cells = hot.select("key", "id", "n", "signs", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "n", "signs", "own")
+    least = _deviations(_each(threshold), HASHES, False)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("n")
+        n = t.column("n").to_numpy()
+        signs = pc.list_flatten(t.column("signs")).to_numpy().view(np.uint64).reshape(len(n), -1)
+        within = t.column("p")[0] == t.column("q")[0]
+        left = np.ones(len(n), bool) if within else t.column("own").to_numpy() == t.column("p")[0].as_py()
+        rows, columns = np.flatnonzero(left), np.flatnonzero(left if within else ~left)
+        a, b = [], []
+        for k in range(0, len(rows), 64):
+            i = rows[k : k + 64]
+            # Sizes that can fit, in their order.
+            j = columns[np.searchsorted(n[columns], n[i[0]] * threshold - 1) : np.searchsorted(n[columns], n[i[-1]] / threshold + 1, side="right")]
+            differing = np.zeros((len(i), len(j)), np.uint16)
+            for w in range(signs.shape[1]):
+                x = signs[i, None, w] ^ signs[None, j, w]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                x &= np.uint64(0x1111111111111111)
+                differing += np.bitwise_count(x)
+            ok = HASHES - differing.astype(np.int32) >= least
+            small, large = np.minimum(n[i, None], n[None, j]), np.maximum(n[i, None], n[None, j])
+            ok &= small >= threshold * large - 1e-9
+            if within:
+                ok &= i[:, None] < j[None, :]
+            x, y = np.nonzero(ok)
+            a.append(i[x])
+            b.append(j[y])
+        ids = t.column("id").combine_chunks()
+        x, y = (ids.take(pa.array(np.concatenate([np.empty(0, np.int64), *c]))) for c in (a, b))
+        first = pc.less(x, y)
+        return pa.table({"id": pc.if_else(first, x, y), "o_id": pc.if_else(first, y, x)})
+
+    return cells.groupBy("key", "p", "q").applyInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("o_id", kind)]))
+
+
+def _each(threshold: float) -> float:
+    """The share of equal signs of min-hashes that is expected at the threshold; a sixteenth of unequal min-hashes have equal signs."""
+    return threshold + (1 - threshold) / 16
+
+
 def meeting_keys(postings: DataFrame, hot: int = 1000, hotter: int = 20) -> DataFrame:
-    """(id, key) over which texts meet, from their keys (id, key); keys of one text alone are left out.
+    """(id, key) over which most, not all, texts meet, from their keys (id, key); keys of one text alone are left out.
 
+    near_pairs() doesn't use it, for it leaves partners out: see block_pairs(). It is for where few meetings count more than whole results.
     A key of more than `hot` texts would let each of them meet all others. Its texts meet over pairs of such keys instead, and where a
     pair, too, has more than hot * hotter texts, over triples whose pairs all have. Two texts that share any key of few
     texts meet there as ever. With 64 keys, of which texts of similarity 0.6 share 8.3 on average, fewer than two are shared by 0.15 %
@@ -230,10 +291,9 @@ def meeting_keys(postings: DataFrame, hot: int = 1000, hotter: int = 20) -> Data
     it is much like over `hot` others, which it then is a pair with.
     """
     counted = lambda x: cut(x.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "counts")
-    counts = counted(postings)
-    shared = cut(postings.join(bounded(counts), "key"), "postings")
+    shared = shared_keys(postings)
     out = shared.where(F.col("texts") <= hot).select("id", "key")
-    if counts.where(F.col("texts") > hot).isEmpty():
+    if shared.where(F.col("texts") > hot).isEmpty():
         return out
     own = shared.where(F.col("texts") > hot).groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"))
     two = F.flatten(F.transform("k", lambda a, i: F.transform(F.slice("k", i + 2, F.greatest(F.size("k") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -249,12 +309,12 @@ def meeting_keys(postings: DataFrame, hot: int = 1000, hotter: int = 20) -> Data
     return out.unionByName(sets.select("id", F.explode(three).alias("key")))
 
 
-def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, gram: int = 12, hot: int = 1000, group: int = 64, per_bucket: int = 8000, repeated_keys: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, gram: int = 12, hot: int = 1000, group: int = 64, per_bucket: int = 8000, repeated_keys: bool = False, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(pairs, members).
 
     pairs (a, b, similarity), a < b: texts whose similarity is at least threshold, between the smallest keys of their exact copies.
     members (id, rep): the keys of texts that have copies, with the smallest key of their class.
-    NULL texts, those shorter than gram code points when folded, and NULL keys are in no pair and no class. hot: see meeting_keys(). Keys must be unique,
+    NULL texts, those shorter than gram code points when folded, and NULL keys are in no pair and no class. Keys of more than `hot` texts meet in blocks of `block`: see block_pairs(). Keys must be unique,
     unless repeated_keys: then repeated rows of one key and text count once. Other columns are not read. Empty df: no rows.
     """
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -267,7 +327,7 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, gram:
         reps = reps.dropDuplicates(["id", "digest"])
 
     postings = reps.select("id", F.explode("keys").alias("key"))
-    keys = cut(meeting_keys(postings, hot), "keys")
+    keys = shared_keys(postings)
 
     lowest = keys.groupBy("id").agg(F.min("key").alias("g"))
     sizes = lowest.groupBy("g").agg(F.count("*").alias("size"))
@@ -275,14 +335,17 @@ def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.8, gram:
     homes = cut(homes, "homes")
 
     # Pairs by their keys; most differ in too many min-hashes and end here.
-    each = threshold + (1 - threshold) / 16
     signs = [f"s{i}" for i in range(HASHES // 16)]
-    asking = keys.join(reps.select("id", "n", *[F.get("signs", F.lit(i)).alias(c) for i, c in enumerate(signs)]), "id")
+    asking = keys.where(F.col("texts") <= hot).select("id", "key").join(reps.select("id", "n", *[F.get("signs", F.lit(i)).alias(c) for i, c in enumerate(signs)]), "id")
     other = asking.withColumnsRenamed({c: f"o_{c}" for c in ("id", "n", *signs)})
     fitting = (F.col("id") < F.col("o_id")) & (F.least("n", "o_n") >= threshold * F.greatest("n", "o_n") - 1e-9)
     differing = " + ".join(f"bit_count(({c} ^ o_{c} | shiftrightunsigned({c} ^ o_{c}, 1) | shiftrightunsigned({c} ^ o_{c}, 2) | shiftrightunsigned({c} ^ o_{c}, 3)) & {0x1111111111111111})" for c in signs)
-    alike = HASHES - F.expr(differing) >= _deviations(each, HASHES, False)
-    met = asking.join(other, "key").where(fitting & alike).select("id", "o_id").distinct()
+    alike = HASHES - F.expr(differing) >= _deviations(_each(threshold), HASHES, False)
+    met = asking.join(other, "key").where(fitting & alike).select("id", "o_id")
+    many = keys.where(F.col("texts") > hot)
+    if not many.isEmpty():
+        met = met.unionByName(block_pairs(many.join(reps.select("id", "n", "signs"), "id"), threshold, block))
+    met = met.distinct()
     meets = cut(met.join(homes.select(F.col("id").alias("o_id"), "g", "part"), "o_id").select("id", "g", "part").distinct(), "meets")
 
     # Sketches move once, to buckets of groups; a group with many askers is in several buckets, each with all of its few members.
@@ -329,16 +392,17 @@ def verified(both: DataFrame, gram: int) -> DataFrame:
     return both.mapInPandas(run, T.StructType([a, b, T.StructField("common", T.LongType()), T.StructField("either", T.LongType())]))
 
 
-def expanded(pairs: DataFrame, members: DataFrame, copies: int = 100) -> DataFrame:
+def expanded(pairs: DataFrame, members: DataFrame, copies: int | None = 100) -> DataFrame:
     """(a, b), a < b: pairs with their classes' members put in.
 
-    Classes of up to `copies` members are expanded into all pairs. A larger class (it can hold a third of all rows) isn't: each of its
+    Classes of up to `copies` members, with None those of any size, are expanded into all pairs. A larger class (it can hold a third of all rows) isn't: each of its
     members is paired with its representative, and only the representative with other texts.
     """
     small = members.groupBy("rep").agg(F.count("*").alias("n"))
     inside = members.join(small, "rep")
-    few = inside.where(f"n <= {copies}").select("rep", "id")
-    many = inside.where(f"n > {copies} AND id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    small_enough = F.lit(True) if copies is None else F.col("n") <= copies
+    few = inside.where(small_enough).select("rep", "id")
+    many = inside.where(~small_enough & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     own = few.alias("s").join(few.alias("t"), "rep").where("s.id < t.id").select(F.col("s.id").alias("a"), F.col("t.id").alias("b"))
     x = pairs.select("a", "b").join(few.withColumnsRenamed({"rep": "a", "id": "i"}), "a", "left").join(few.withColumnsRenamed({"rep": "b", "id": "j"}), "b", "left")
     x = x.select(F.coalesce("i", "a").alias("i"), F.coalesce("j", "b").alias("j")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))

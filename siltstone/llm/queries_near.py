@@ -13,7 +13,7 @@ from .neardup import expanded, near_pairs
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a similarity of at least 0.6."""
     pairs, members = near_pairs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 0.6)
-    return expanded(pairs, members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return expanded(pairs, members, None).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from siltstone.llm import neardup
 from siltstone.llm.neardup import expanded, meeting_keys, near_pairs, sketches
 
 
@@ -170,3 +173,23 @@ def test_a_family_above_every_bound(spark):
     truth, got = brute(rows, 0.6), found(spark, rows, 0.6, hot=1)
     assert got <= truth
     assert len(got) >= 0.99 * len(truth)
+
+
+def test_texts_with_one_hot_key_in_common_meet(spark, monkeypatch):
+    r = random.Random(14)
+    base = letters(r, 900)
+    rows = [(i, edited(base, 60, i)) for i in range(40)]
+    # Only one key is left of each text, and all have it: there are no pairs of keys to meet over.
+    truth = brute(rows, 0.6)
+    made = neardup.sketches
+    monkeypatch.setattr(neardup, "sketches", lambda df, gram: made(df, gram).withColumn("keys", F.array(F.lit(7))))
+    for block in (1024, 6):
+        got = found(spark, rows, 0.6, hot=5, block=block)
+        assert len(truth) > 50
+        assert got == truth
+
+
+def test_classes_of_any_size_are_expanded(spark):
+    rows = [(i, "one text that is delivered again and again") for i in range(150)]
+    pairs, members = near_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.8)
+    assert expanded(pairs, members, None).count() == 150 * 149 // 2
